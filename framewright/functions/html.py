@@ -5,45 +5,73 @@ from __future__ import annotations
 from html import unescape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 # attributes may quote a closing bracket; possessive, so no deep backtracking
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_SPACE = r"[\s\x1c-\x1f]"
+
+# Every character that counts as white space when stripping
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+_MARK = "\x00"  # stands where a tag was, so that its neighbours cannot form a new one
+
+_HIDDEN = (
+    r"!--.*?-->"
+    rf"|(?i:script)\b{_ATTRIBUTES}>.*?</(?i:script)\s*>"
+    rf"|(?i:style)\b{_ATTRIBUTES}>.*?</(?i:style)\s*>"
+)
 
 
 def visible_markup(html: Column) -> Column:
     """The document without comments, scripts and style sheets."""
-    hidden = (
-        r"(?is)<!--.*?-->"
-        rf"|<script\b{_ATTRIBUTES}>.*?</script\s*>"
-        rf"|<style\b{_ATTRIBUTES}>.*?</style\s*>"
-    )
-    return F.regexp_replace(html, hidden, "")
+    return F.regexp_replace(html, rf"(?s)<(?:{_HIDDEN})", "")
+
+
+def plain_markup(html: Column, *keep: str) -> Column:
+    """Only the named tags and the visible text, in one pass over the text."""
+    kept = rf"(?!/?(?i:{'|'.join(keep)})\b)"
+    return F.regexp_replace(html, rf"(?s)<(?:{_HIDDEN}|{kept}[/!?a-zA-Z]{_ATTRIBUTES}>)", _MARK)
 
 
 def element_bodies(html: Column, tag: str) -> Column:
     """Inner markup of every closed, un-nested ``tag``, in document order."""
-    pattern = rf"(?is)<{tag}\b{_ATTRIBUTES}>(.*?)</{tag}\s*>"
+    pattern = rf"(?s)<(?i:{tag})\b{_ATTRIBUTES}>(.*?)</(?i:{tag})\s*>"
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
-def drop_tags(markup: Column) -> Column:
-    return F.regexp_replace(markup, rf"<[/!?a-zA-Z]{_ATTRIBUTES}>", "")
-
+def cell_texts(row: Column, tag: str) -> Column:
+    """Stripped text of every cell of a row of ``plain_markup``.
 
-def strip(text: Column) -> Column:
-    """Trim all Unicode white space, not blanks only."""
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|(?<!{_SPACE}){_SPACE}+\z", "")
+    Character references are not decoded yet.
+    """
+    return F.transform(
+        element_bodies(row, tag),
+        lambda cell: F.btrim(F.translate(cell, _MARK, ""), F.lit(WHITE_SPACE)),
+    )
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def _decode_entities(cells: pa.Array) -> pa.Array:
-    texts = [None if t is None else unescape(t) for t in cells.values.to_pylist()]
-    return pa.ListArray.from_arrays(cells.offsets, pa.array(texts, pa.string()), mask=cells.is_null())
+def _decode_cells(cells: pa.Array) -> pa.Array:
+    texts = [None if t is None else unescape(t).strip() for t in cells.flatten().to_pylist()]
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(cells), 0))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(offsets, pa.array(texts, pa.string()), mask=cells.is_null())
+
+
+# not to be repeated in a filter that Catalyst moves below the projection
+_decode_cells = _decode_cells.asNondeterministic()
+
 
+def decode_references(cells: Column) -> Column:
+    """Decode character references and strip what they turn into.
 
-def decode_entities(cells: Column) -> Column:
-    """Decode character references; rows without any stay out of Python."""
+    Rows without any reference reach Python as nulls only.
+    """
     coded = F.when(F.exists(cells, lambda c: c.contains("&")), cells)
-    return F.coalesce(_decode_entities(coded), cells)
+    return F.coalesce(_decode_cells(coded), cells)

@@ -2,12 +2,15 @@
 
 A queue is an array column, ``members``, of structs in time order:
 
+    slot      position in the queue, from 0
     pos       position in the history window, 0 .. length (length = current)
     frame_no  the frame taken, after clamping at the first frame
     frame     the columns of that frame, null if there is no such frame
+    before    the columns of the frame in the slot before, null in slot 0
 
 Building the array costs one shuffle. All steps after it look at one row at
-a time, so none of them shuffles.
+a time, so none of them shuffles. Each of them names ``members`` once, so
+that Catalyst can merge or move them without repeating the work below.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from framewright.functions.draws import clamp_index, seeded_draw
 from framewright.operators.indexing import dense_index
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 
 def history_window(
@@ -54,12 +57,19 @@ def history_window(
 
     def member(pos: Column) -> Column:
         wanted = clamp_index(frame_no - length + pos)
-        found = F.get(F.filter("_near", lambda f: f["frame_no"] == wanted), F.lit(0))
+        near = F.col("_near")
+        # without gaps the frame stands at its distance from the oldest one
+        likely = F.get(near, (wanted - F.get(near, F.lit(0))["frame_no"]).cast("int"))
+        found = F.when(likely["frame_no"] == wanted, likely).otherwise(
+            F.get(F.filter(near, lambda f: f["frame_no"] == wanted), F.lit(0))
+        )
         return F.struct(pos.alias("pos"), wanted.alias("frame_no"), found.alias("frame"))
 
-    return near.withColumn(
-        "members", F.transform(F.sequence(F.lit(0), F.lit(length)), member)
-    ).select(frame_no.alias("queue_no"), *[c for c in frames.columns if c != "frame_no"], "members")
+    return near.select(
+        frame_no.alias("queue_no"),
+        *[c for c in frames.columns if c != "frame_no"],
+        F.transform(F.sequence(F.lit(0), F.lit(length)), member).alias("members"),
+    )
 
 
 def drop_one_history(queues: DataFrame, length: int, seed: int, draw: Column | None = None) -> DataFrame:
@@ -69,21 +79,28 @@ def drop_one_history(queues: DataFrame, length: int, seed: int, draw: Column | N
     """
     if length == 0:
         return queues
-    dropped = seeded_draw(F.col("queue_no"), seed, length) if draw is None else draw
+    dropped = (seeded_draw(F.col("queue_no"), seed, length) if draw is None else draw).cast("int")
+    members, drop = F.col("members"), F.col("_drop")
+    older = F.slice(members, F.lit(1), drop)
+    newer = F.slice(members, drop + 2, F.lit(length))
     return (
         queues.withColumn("_drop", dropped)
-        .withColumn("members", F.filter("members", lambda m: m["pos"] != F.col("_drop")))
+        .withColumn("members", F.concat(older, newer))
         .drop("_drop")
     )
 
 
 def queue_order(queues: DataFrame) -> DataFrame:
-    """Add the slot number to each member: ascending history, current last."""
-    ordered = F.array_sort("members")
-    return queues.withColumn("members", ordered).withColumn(
-        "members",
-        F.transform("members", lambda m, k: F.struct(k.alias("slot"), *_fields(m, "pos", "frame_no", "frame"))),
-    )
+    """Number the slots, history ascending and current last, and link each
+    member to the one before. The members arrive in the order of ``pos``."""
+
+    def numbered(m: Column, k: Column) -> Column:
+        before = F.get(F.col("members"), k - 1)["frame"]
+        return F.struct(
+            k.alias("slot"), *_fields(m, "pos", "frame_no", "frame"), before.alias("before")
+        )
+
+    return queues.withColumn("members", F.transform("members", numbered))
 
 
 def build_queues(
@@ -150,13 +167,10 @@ def replace_rejected(
 
 def scene_start_flag(queues: DataFrame, scene: str = "scene_token") -> DataFrame:
     """Add ``prev_bev_exists`` to each member: same scene as the slot before."""
-    return _with_previous(
+    return _with_field(
         queues,
-        lambda now, before: [
-            F.coalesce(now["frame"][scene] == before["frame"][scene], F.lit(False)).alias(
-                "prev_bev_exists"
-            )
-        ],
+        "prev_bev_exists",
+        lambda m: F.coalesce(m["frame"][scene] == m["before"][scene], F.lit(False)),
     )
 
 
@@ -169,17 +183,16 @@ def relative_pose(queues: DataFrame, vector: str = "can_bus") -> DataFrame:
     ``prev_bev_exists``; adds the vector as ``relative``.
     """
 
-    def changed(now: Column, before: Column) -> list[Column]:
-        v, p = now["frame"][vector], before["frame"][vector]
-        n = F.size(v)
+    def changed(m: Column) -> Column:
+        now, before, n = m["frame"][vector], m["before"][vector], F.size(m["frame"][vector])
 
-        def element(x: Column, i: Column) -> Column:
-            moves = (i < 3) | (i == n - 1)
-            return F.when(~moves, x).when(now["prev_bev_exists"], x - F.get(p, i)).otherwise(0.0)
+        def step(i: Column | int) -> Column:
+            return F.when(m["prev_bev_exists"], F.get(now, i) - F.get(before, i)).otherwise(0.0)
 
-        return [F.transform(v, element).alias("relative")]
+        position = F.array(*[step(F.lit(i)) for i in range(3)])
+        return F.concat(position, F.slice(now, F.lit(4), n - 4), F.array(step(n - 1)))
 
-    return _with_previous(queues, changed)
+    return _with_field(queues, "relative", changed)
 
 
 def stack_queue(queues: DataFrame, image: str = "img", shape: str = "img_shape") -> DataFrame:
@@ -221,8 +234,10 @@ def merge_queue(
 def queue_rows(queues: DataFrame, frame_fields: Sequence[str] = ()) -> DataFrame:
     """One row per queue and slot."""
     element = queues.schema["members"].dataType.elementType
-    plain = [f.name for f in element if f.name != "frame"]
-    return queues.select("queue_no", F.explode("members").alias("m")).select(
+    plain = [f.name for f in element if f.name not in ("frame", "before")]
+    # members is never empty; the plain explode would add a filter on its size
+    # that Catalyst copies below every projection
+    return queues.select("queue_no", F.explode_outer("members").alias("m")).select(
         "queue_no",
         *[F.col("m")[f].alias(f) for f in plain],
         *[F.col("m")["frame"][f].alias(f) for f in frame_fields],
@@ -233,15 +248,10 @@ def _fields(struct: Column, *names: str) -> list[Column]:
     return [struct[n].alias(n) for n in names]
 
 
-def _with_previous(queues: DataFrame, extra) -> DataFrame:
-    """Add fields to each member, computed from it and the member before."""
+def _with_field(queues: DataFrame, name: str, value) -> DataFrame:
+    """Add a field to each member, computed from that member."""
     names = [f.name for f in queues.schema["members"].dataType.elementType]
-    before = F.concat(
-        F.array(F.lit(None)), F.slice("members", F.lit(1), F.size("members") - 1)
-    )
     return queues.withColumn(
         "members",
-        F.zip_with(
-            "members", before, lambda now, prev: F.struct(*_fields(now, *names), *extra(now, prev))
-        ),
+        F.transform("members", lambda m: F.struct(*_fields(m, *names), value(m).alias(name))),
     )

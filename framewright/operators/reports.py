@@ -42,11 +42,13 @@ def extract_row_cells(rows: DataFrame, cell_tag: str = "td", unescape: bool = Tr
     A row without such cells, a header, gets an empty array. Turn
     ``unescape`` off if the reports hold no character references.
     """
-    texts = F.transform(H.element_bodies(F.col("row_html"), cell_tag), H.drop_tags)
-    rows = rows.withColumn("cells", texts).drop("row_html")
-    if unescape:
-        rows = rows.withColumn("cells", H.decode_entities(F.col("cells")))
-    return rows.withColumn("cells", F.transform("cells", H.strip))
+    plain = H.plain_markup(F.col("row_html"), cell_tag)
+    rows = rows.withColumn("cells", H.cell_texts(plain, cell_tag)).drop("row_html")
+    return decode_cells(rows) if unescape else rows
+
+
+def decode_cells(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("cells", H.decode_references(F.col("cells")))
 
 
 def extract_cells_tolerant(
@@ -241,12 +243,24 @@ def layer_rows(
 
 
 def table_cells(
-    docs: DataFrame, keys: Sequence[str] = ("path",), tolerant: bool = False, unescape: bool = True
+    docs: DataFrame,
+    keys: Sequence[str] = ("path",),
+    tolerant: bool = False,
+    unescape: bool = True,
+    row_tag: str = "tr",
+    cell_tag: str = "td",
 ) -> DataFrame:
-    """Keys, ``row_no`` and ``cells`` of every table row."""
+    """Keys, ``row_no`` and ``cells`` of every table row, in one step.
+
+    The cells are cut inside the generator, so later filters on them do not
+    make Catalyst repeat the work.
+    """
     if tolerant:
-        return extract_cells_tolerant(docs, keys)
-    return extract_row_cells(extract_table_rows(docs, keys), unescape=unescape)
+        return extract_cells_tolerant(docs, keys, "html", row_tag, cell_tag)
+    bodies = H.element_bodies(H.plain_markup(F.col("html"), row_tag, cell_tag), row_tag)
+    cells = F.transform(bodies, lambda row: H.cell_texts(row, cell_tag))
+    rows = docs.select(*keys, F.posexplode(cells).alias("row_no", "cells"))
+    return decode_cells(rows) if unescape else rows
 
 
 def layer_wide_report(

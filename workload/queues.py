@@ -145,7 +145,7 @@ def q_filter_empty_queues(spark, sf_dir):
 )
 def q_replace_rejected(spark, sf_dir):
     full = Q.replace_rejected(_queues(spark, sf_dir, ["gt_labels"]), SEED)
-    return full.select("queue_no", "source_queue_no", F.explode("members").alias("m")).select(
+    return full.select("queue_no", "source_queue_no", F.explode_outer("members").alias("m")).select(
         "queue_no", "source_queue_no", "m.slot", "m.frame_no"
     )
 
@@ -203,7 +203,7 @@ def q_stack_queue(spark, sf_dir):
 def q_queue_metas(spark, sf_dir):
     queues = Q.scene_start_flag(_queues(spark, sf_dir, ["scene_token", "event_id"]))
     metas = Q.queue_metas(queues, ["scene_token", "event_id", "prev_bev_exists"])
-    return metas.select("queue_no", F.explode("img_metas").alias("slot", "meta")).select(
+    return metas.select("queue_no", F.explode_outer("img_metas").alias("slot", "meta")).select(
         "queue_no", "slot", "meta.scene_token", "meta.event_id", "meta.prev_bev_exists"
     )
 

@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, spread over the cores if its files are fewer than those.
+
+    A large table arrives in many partitions and is left alone.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(value: Column, digits: int = 6) -> Column:
     """Rounded, with no negative zero: engines print that one differently."""
     r = F.round(value, digits)

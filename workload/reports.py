@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from framewright.operators import reports as R
 from framewright.session import shared_folder
 from framewright.sources.reports import reports_from_table, write_report
-from workload.registry import query, table
+from workload.registry import query, spread_table
 
 LAYERS = R.LAYERS
 PARTS = ("Name", *R.METRIC_CELLS)
@@ -28,7 +28,7 @@ def _tr(*cells) -> F.Column:
 
 def line_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report per line: a header, three layer rows, one other row."""
-    line = table(spark, sf_dir, "lineitem").select(
+    line = spread_table(spark, sf_dir, "lineitem").select(
         *[F.col(c).cast("bigint").alias(c) for c in
           ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")],
         "l_returnflag", "l_linestatus",
@@ -115,13 +115,13 @@ def _wide_sql(group: str, keys: str, order: str) -> str:
     "SELECT page_id AS path, length(html)::INT AS n_chars, md5(html) AS digest FROM pages",
 )
 def q_scan_html_reports(spark, sf_dir):
-    docs = reports_from_table(table(spark, sf_dir, "pages"), "page_id", "html")
+    docs = reports_from_table(spread_table(spark, sf_dir, "pages"), "page_id", "html")
     return docs.select("path", F.length("html").alias("n_chars"), F.md5("html").alias("digest"))
 
 
 @query("extract_table_rows", f"WITH {PAGE_ROWS} SELECT page_id, row_no, row_html FROM u")
 def q_extract_table_rows(spark, sf_dir):
-    return R.extract_table_rows(table(spark, sf_dir, "pages"), ["page_id"], row_tag="ul")
+    return R.extract_table_rows(spread_table(spark, sf_dir, "pages"), ["page_id"], row_tag="ul")
 
 
 @query(
@@ -130,7 +130,7 @@ def q_extract_table_rows(spark, sf_dir):
         unnest(cells) AS cell FROM c""",
 )
 def q_extract_row_cells(spark, sf_dir):
-    rows = R.extract_table_rows(table(spark, sf_dir, "pages"), ["page_id"], row_tag="ul")
+    rows = R.extract_table_rows(spread_table(spark, sf_dir, "pages"), ["page_id"], row_tag="ul")
     cells = R.extract_row_cells(rows, cell_tag="li")
     return cells.select("page_id", "row_no", F.posexplode("cells").alias("cell_no", "cell"))
 
@@ -142,7 +142,7 @@ def q_extract_row_cells(spark, sf_dir):
 )
 def q_extract_cells_tolerant(spark, sf_dir):
     cells = R.extract_cells_tolerant(
-        table(spark, sf_dir, "pages"), ["page_id"], row_tag="ul", cell_tag="li"
+        spread_table(spark, sf_dir, "pages"), ["page_id"], row_tag="ul", cell_tag="li"
     )
     return cells.select("page_id", "row_no", F.posexplode("cells").alias("cell_no", "cell"))
 
