@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.functions import geometry as G
 from framewright.operators import frames as R
 from framewright.operators.indexing import dense_index
 from framewright.plans import samples as S
+from framewright.session import shared_folder
+from framewright.sources.frames import scan_frame_infos
 from workload.registry import query, rounded, spread_table, sql_rounded as r, table
 
 CAMERAS = ["FRONT", "BACK"]
@@ -404,3 +408,21 @@ def q_train_view(spark, sf_dir):
         rounded(F.get("m.relative", F.lit(0))).alias("rel_x"),
         F.col("img")[F.col("slot")][0].alias("front"),
     )
+
+
+@query(
+    "scan_frame_infos",
+    f"""WITH {INFOS} SELECT f.frame_no, f.event_id::VARCHAR AS token, f.user_id::VARCHAR AS scene_token,
+    epoch_us(ts) AS timestamp, {r('value')} AS x, 'BACK/' || event_id || '.jpg' AS back FROM f""",
+)
+def q_scan_frame_infos(spark, sf_dir):
+    """Frame records written as JSON lines in order, and numbered again."""
+    path = f"{shared_folder(spark)}/framewright/frames-{uuid.uuid4().hex}"
+    infos = event_infos(spark, sf_dir)
+    infos.repartitionByRange("frame_no").sortWithinPartitions("frame_no").drop("frame_no").write.json(path)
+    frames = scan_frame_infos(spark, path, lines=True)
+    return frames.select(
+        "frame_no", "token", "scene_token", "timestamp",
+        rounded(F.col("ego2global_translation")[0]).alias("x"),
+        F.col("cams")["BACK"]["data_path"].alias("back"),
+    )
