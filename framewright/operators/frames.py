@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framewright.functions import geometry as G
+from framewright.functions.binding import let
 
 # Record fields and the names they are passed on under
 FRAME_FIELDS = {
@@ -73,13 +74,16 @@ def ordered_cameras(cams: str | Column, cameras: Sequence[str]) -> Column:
     Maps have no order, so the list gives it; a camera outside the list
     fails the job rather than getting lost.
     """
-    cams = F.col(cams) if isinstance(cams, str) else cams
-    named = F.array(*[F.lit(c) for c in cameras])
-    known = F.filter(named, lambda c: F.map_contains_key(cams, c))
-    listed = F.transform(known, lambda c: F.struct(c.alias("cam_type"), cams[c].alias("cam")))
-    return F.when(F.size(known) == F.size(F.map_keys(cams)), listed).otherwise(
-        F.raise_error(F.concat(F.lit("unlisted camera among: "), F.array_join(F.map_keys(cams), ", ")))
-    )
+    def listed(cams: Column) -> Column:
+        named = F.array(*[F.lit(c) for c in cameras])
+        known = F.filter(named, lambda c: F.map_contains_key(cams, c))
+        found = F.transform(known, lambda c: F.struct(c.alias("cam_type"), cams[c].alias("cam")))
+        keys = F.map_keys(cams)
+        return F.when(F.size(known) == F.size(keys), found).otherwise(
+            F.raise_error(F.concat(F.lit("unlisted camera among: "), F.array_join(keys, ", ")))
+        )
+
+    return let(F.col(cams) if isinstance(cams, str) else cams, listed)
 
 
 def explode_cameras(frames: DataFrame, cameras: Sequence[str], cams: str = "cams") -> DataFrame:

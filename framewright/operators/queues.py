@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from framewright.functions.binding import let, let_all
 from framewright.functions.draws import clamp_index, seeded_draw
 from framewright.operators.indexing import dense_index
 
@@ -80,27 +81,29 @@ def drop_one_history(queues: DataFrame, length: int, seed: int, draw: Column | N
     if length == 0:
         return queues
     dropped = (seeded_draw(F.col("queue_no"), seed, length) if draw is None else draw).cast("int")
-    members, drop = F.col("members"), F.col("_drop")
-    older = F.slice(members, F.lit(1), drop)
-    newer = F.slice(members, drop + 2, F.lit(length))
-    return (
-        queues.withColumn("_drop", dropped)
-        .withColumn("members", F.concat(older, newer))
-        .drop("_drop")
-    )
+
+    def without(members: Column, drop: Column) -> Column:
+        older = F.slice(members, F.lit(1), drop)
+        newer = F.slice(members, drop + 2, F.lit(length))
+        return F.concat(older, newer)
+
+    return queues.withColumn("members", let_all(without, members=F.col("members"), drop=dropped))
 
 
 def queue_order(queues: DataFrame) -> DataFrame:
     """Number the slots, history ascending and current last, and link each
     member to the one before. The members arrive in the order of ``pos``."""
 
-    def numbered(m: Column, k: Column) -> Column:
-        before = F.get(F.col("members"), k - 1)["frame"]
-        return F.struct(
-            k.alias("slot"), *_fields(m, "pos", "frame_no", "frame"), before.alias("before")
-        )
+    def linked(members: Column) -> Column:
+        def numbered(m: Column, k: Column) -> Column:
+            before = F.get(members, k - 1)["frame"]
+            return F.struct(
+                k.alias("slot"), *_fields(m, "pos", "frame_no", "frame"), before.alias("before")
+            )
+
+        return F.transform(members, numbered)
 
-    return queues.withColumn("members", F.transform("members", numbered))
+    return queues.withColumn("members", let(F.col("members"), linked))
 
 
 def build_queues(
