@@ -41,7 +41,10 @@ def plain_markup(html: Column, *keep: str) -> Column:
 
 def element_bodies(html: Column, tag: str) -> Column:
     """Inner markup of every closed, un-nested ``tag``, in document order."""
-    pattern = rf"(?s)<(?i:{tag})\b{_ATTRIBUTES}>(.*?)</(?i:{tag})\s*>"
+    end = rf"/(?i:{tag})\s*+>"
+    # text up to the next bracket in one go, then any bracket but the end tag's
+    body = rf"[^<]*+(?:<(?!{end})[^<]*+)*+"
+    pattern = rf"<(?i:{tag})\b{_ATTRIBUTES}>({body})<{end}"
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
@@ -51,11 +54,20 @@ def cell_texts(row: Column, tag: str) -> Column:
     Character references are not decoded yet.
     """
     return F.transform(
-        element_bodies(row, tag),
-        lambda cell: F.btrim(F.translate(cell, _MARK, ""), F.lit(WHITE_SPACE)),
+        element_bodies(row, tag), lambda cell: strip(F.replace(cell, F.lit(_MARK), F.lit("")))
     )
 
 
+def strip(text: Column) -> Column:
+    """Trim every kind of white space.
+
+    Trimming by a long list is slow, and a text that begins and ends with a
+    visible ASCII character does not need it.
+    """
+    tight = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)
+    return F.when(tight, text).otherwise(F.btrim(text, F.lit(WHITE_SPACE)))
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _decode_cells(cells: pa.Array) -> pa.Array:
     texts = [None if t is None else unescape(t).strip() for t in cells.flatten().to_pylist()]

@@ -141,7 +141,7 @@ def test_tolerant_parser(spark):
 def test_strip_matches_python(spark):
     texts = ["".join(chr(c) for c in range(0x21)) + "x" + " \x85 　", "", " \n ", "a  b"]
     rows = spark.createDataFrame([(t.replace("\x00", ""),) for t in texts], "t string")
-    got = [r[0] for r in rows.select(F.btrim("t", F.lit(H.WHITE_SPACE))).collect()]
+    got = [r[0] for r in rows.select(H.strip(F.col("t"))).collect()]
     assert got == [t.replace("\x00", "").strip() for t in texts]
 
 

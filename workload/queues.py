@@ -47,7 +47,7 @@ f AS (SELECT row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS frame_no,
              'img/' || event_id || '.jpg' AS img
       FROM events)"""
 HISTORY = FRAMES + f""",
-h AS (SELECT f.frame_no AS queue_no, p.pos, f.frame_no - {LENGTH} + p.pos AS wanted,
+h AS (SELECT f.frame_no AS queue_no, p.pos::INT AS pos, f.frame_no - {LENGTH} + p.pos AS wanted,
              greatest(0, f.frame_no - {LENGTH} + p.pos) AS frame_no
       FROM f CROSS JOIN (SELECT unnest(range(0, {LENGTH + 1})) AS pos) p)"""
 DRAW = "('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT % {n}"
@@ -55,7 +55,7 @@ KEPT = HISTORY + f""",
 d AS (SELECT * FROM h WHERE pos <> {DRAW.format(seed=SEED, key='queue_no', n=LENGTH)})"""
 SLOTS = KEPT + """,
 s AS (SELECT d.queue_no, d.pos,
-             row_number() OVER (PARTITION BY d.queue_no ORDER BY d.pos) - 1 AS slot,
+             (row_number() OVER (PARTITION BY d.queue_no ORDER BY d.pos) - 1)::INT AS slot,
              f.* FROM d JOIN f USING (frame_no))"""
 FLAGS = SLOTS + """,
 w AS (SELECT *, coalesce(scene_token = lag(scene_token) OVER q, false) AS prev_bev_exists,
