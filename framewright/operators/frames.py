@@ -93,51 +93,51 @@ def explode_cameras(frames: DataFrame, cameras: Sequence[str], cams: str = "cams
     return rows.select(*others, "cam_idx", "_c.cam_type", "_c.cam.*")
 
 
-def camera_matrices(rows: DataFrame) -> DataFrame:
-    """Add the three matrices to exploded camera rows."""
-    return (
-        rows.withColumn("_inverse", G.inverse_rotation(F.col("sensor2lidar_rotation")))
-        .withColumn("lidar2cam", G.lidar_to_camera(F.col("_inverse"), F.col("sensor2lidar_translation")))
-        .withColumn("cam_intrinsic", G.pad_intrinsic(F.col("cam_intrinsic")))
-        .withColumn("lidar2img", G.lidar_to_image(F.col("cam_intrinsic"), F.col("lidar2cam")))
-        .drop("_inverse")
-    )
-
-
-def collect_cameras(frames: DataFrame, cameras: Sequence[str], cams: str = "cams") -> DataFrame:
-    """Replace the camera map by parallel arrays, without a shuffle.
-
-    Each step names the array before it once, so nothing is computed twice.
-    """
-
-    def inverted(c: Column) -> Column:
-        cam = c["cam"]
-        return F.struct(
-            cam["data_path"].alias("path"),
-            G.inverse_rotation(cam["sensor2lidar_rotation"]).alias("inverse"),
-            cam["sensor2lidar_translation"].alias("shift"),
-            G.pad_intrinsic(cam["cam_intrinsic"]).alias("pad"),
-        )
+def camera_view(cam: Column) -> Column:
+    """The three matrices of a camera record, each computed once."""
 
     def placed(c: Column) -> Column:
         return F.struct(
-            c["path"], c["pad"], G.lidar_to_camera(c["inverse"], c["shift"]).alias("l2c")
+            c["pad"].alias("pad"), G.lidar_to_camera(c["inverse"], c["shift"]).alias("l2c")
         )
 
     def projected(c: Column) -> Column:
         return F.struct(
-            c["path"].alias("img_filename"),
             G.lidar_to_image(c["pad"], c["l2c"]).alias("lidar2img"),
             c["pad"].alias("cam_intrinsic"),
             c["l2c"].alias("lidar2cam"),
         )
 
-    views = ordered_cameras(cams, cameras)
-    for step in (inverted, placed, projected):
-        views = F.transform(views, step)
+    calibration = F.struct(
+        G.inverse_rotation(cam["sensor2lidar_rotation"]).alias("inverse"),
+        cam["sensor2lidar_translation"].alias("shift"),
+        G.pad_intrinsic(cam["cam_intrinsic"]).alias("pad"),
+    )
+    return let(let(calibration, placed), projected)
+
+
+def camera_matrices(rows: DataFrame) -> DataFrame:
+    """Add the three matrices to exploded camera rows."""
+    record = F.struct("sensor2lidar_rotation", "sensor2lidar_translation", "cam_intrinsic")
+    return (
+        rows.withColumn("_view", let(record, camera_view))
+        .withColumns({c: F.col("_view")[c] for c in CAMERA_COLUMNS[1:]})
+        .drop("_view")
+    )
+
+
+def collect_cameras(frames: DataFrame, cameras: Sequence[str], cams: str = "cams") -> DataFrame:
+    """Replace the camera map by parallel arrays, without a shuffle."""
+
+    def view(c: Column) -> Column:
+        return F.struct(c["cam"]["data_path"].alias("img_filename"), camera_view(c["cam"]).alias("m"))
+
     others = [c for c in frames.columns if c != cams]
+    views = F.transform(ordered_cameras(cams, cameras), view)
     return frames.select(*others, views.alias("_views")).select(
-        *others, *[F.col("_views")[c].alias(c) for c in CAMERA_COLUMNS]
+        *others,
+        F.col("_views.img_filename").alias("img_filename"),
+        *[F.col(f"_views.m.{c}").alias(c) for c in CAMERA_COLUMNS[1:]],
     )
 
 

@@ -23,7 +23,7 @@ from framewright.functions.binding import let, let_all
 from framewright.functions.draws import clamp_index, seeded_draw
 from framewright.operators.indexing import dense_index
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 
 
 def history_window(

@@ -51,15 +51,11 @@ def _camera(name: str, first: int, cols: int):
 def vector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two cameras per vector: a 3×3 and a 3×4 intrinsic, wide cells padded."""
     vectors = spread_table(spark, sf_dir, "embeddings")
-    wide = F.transform(
-        F.array(_camera("BACK", 24, 4)),
-        lambda c: c,
-    )
     return vectors.select(
         F.col("vec_id").alias("frame_no"),
         F.map_from_arrays(
             F.array(*[F.lit(c) for c in reversed(CAMERAS)]),
-            F.concat(wide, F.array(_camera("FRONT", 0, 3))),
+            F.array(_camera("BACK", 24, 4), _camera("FRONT", 0, 3)),
         ).alias("cams"),
     )
 
@@ -70,8 +66,8 @@ def camera_rows(spark, sf_dir):
 
 def _elements(rows: DataFrame, matrix, name: str) -> DataFrame:
     return (
-        rows.select("frame_no", "cam_idx", F.posexplode(matrix).alias("i", "_row"))
-        .select("frame_no", "cam_idx", "i", F.posexplode("_row").alias("j", "_v"))
+        rows.select("frame_no", "cam_idx", F.posexplode_outer(matrix).alias("i", "_row"))
+        .select("frame_no", "cam_idx", "i", F.posexplode_outer("_row").alias("j", "_v"))
         .select("frame_no", "cam_idx", "i", "j", rounded(F.col("_v")).alias(name))
     )
 
