@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from framewright.functions.binding import let, let_all
+from framewright.functions.binding import let
 from framewright.functions.draws import clamp_index, seeded_draw
 from framewright.operators.indexing import dense_index
 
@@ -69,7 +69,8 @@ def history_window(
     return near.select(
         frame_no.alias("queue_no"),
         *[c for c in frames.columns if c != "frame_no"],
-        F.transform(F.sequence(F.lit(0), F.lit(length)), member).alias("members"),
+        # one expression per position, the length being known: compiled, unlike a lambda
+        F.array(*[member(F.lit(pos)) for pos in range(length + 1)]).alias("members"),
     )
 
 
@@ -82,28 +83,45 @@ def drop_one_history(queues: DataFrame, length: int, seed: int, draw: Column | N
         return queues
     dropped = (seeded_draw(F.col("queue_no"), seed, length) if draw is None else draw).cast("int")
 
-    def without(members: Column, drop: Column) -> Column:
-        older = F.slice(members, F.lit(1), drop)
-        newer = F.slice(members, drop + 2, F.lit(length))
-        return F.concat(older, newer)
-
-    return queues.withColumn("members", let_all(without, members=F.col("members"), drop=dropped))
+    members, drop = F.col("members"), F.col("_drop")
+    kept = F.array(
+        *[F.when(drop > k, members[k]).otherwise(members[k + 1]) for k in range(length)]
+    )
+    return queues.withColumn("_drop", dropped).withColumn("members", kept).drop("_drop")
 
 
-def queue_order(queues: DataFrame) -> DataFrame:
+def queue_order(queues: DataFrame, slots: int | None = None) -> DataFrame:
     """Number the slots, history ascending and current last, and link each
-    member to the one before. The members arrive in the order of ``pos``."""
+    member to the one before. The members arrive in the order of ``pos``.
 
-    def linked(members: Column) -> Column:
-        def numbered(m: Column, k: Column) -> Column:
-            before = F.get(members, k - 1)["frame"]
-            return F.struct(
-                k.alias("slot"), *_fields(m, "pos", "frame_no", "frame"), before.alias("before")
-            )
+    Give the number of ``slots`` if all queues have that many: the expression
+    is compiled then.
+    """
+    frame = queues.schema["members"].dataType.elementType["frame"].dataType
+    nothing = F.lit(None).cast(frame)
+
+    def numbered(m: Column, k: Column, before: Column) -> Column:
+        return F.struct(
+            k.alias("slot"), *_fields(m, "pos", "frame_no", "frame"), before.alias("before")
+        )
 
-        return F.transform(members, numbered)
+    def linked(members: Column) -> Column:
+        return F.transform(
+            members, lambda m, k: numbered(m, k, F.get(members, k - 1)["frame"])
+        )
 
-    return queues.withColumn("members", let(F.col("members"), linked))
+    if slots is None:
+        return queues.withColumn("members", let(F.col("members"), linked))
+    members = F.col("members")
+    return queues.withColumn(
+        "members",
+        F.array(
+            *[
+                numbered(members[k], F.lit(k), members[k - 1]["frame"] if k else nothing)
+                for k in range(slots)
+            ]
+        ),
+    )
 
 
 def build_queues(
@@ -116,7 +134,7 @@ def build_queues(
 ) -> DataFrame:
     """Window, drop one, number the slots: ``max(length, 1)`` slots per frame."""
     queues = history_window(frames, length, columns, block_rows)
-    return queue_order(drop_one_history(queues, length, seed, draw))
+    return queue_order(drop_one_history(queues, length, seed, draw), max(length, 1))
 
 
 def has_ground_truth(labels: str | Column, ignore: int = -1) -> Column:
@@ -238,13 +256,11 @@ def queue_rows(queues: DataFrame, frame_fields: Sequence[str] = ()) -> DataFrame
     """One row per queue and slot."""
     element = queues.schema["members"].dataType.elementType
     plain = [f.name for f in element if f.name not in ("frame", "before")]
-    # members is never empty; the plain explode would add a filter on its size
-    # that Catalyst copies below every projection
-    return queues.select("queue_no", F.explode_outer("members").alias("m")).select(
-        "queue_no",
-        *[F.col("m")[f].alias(f) for f in plain],
-        *[F.col("m")["frame"][f].alias(f) for f in frame_fields],
-    )
+
+    def slot(m: Column) -> Column:
+        return F.struct(*_fields(m, *plain), *_fields(m["frame"], *frame_fields))
+
+    return queues.select("queue_no", F.inline(F.transform("members", slot)))
 
 
 def _fields(struct: Column, *names: str) -> list[Column]:
