@@ -1,4 +1,4 @@
-"""Evaluation summaries: customers of a nation are a run, segments classes.
+"""Evaluation summaries: customers of a region are a run, segments classes.
 
 Money is summed in whole cents, so both engines average the same numbers.
 """
@@ -22,15 +22,20 @@ DISTANCES = ("0.5", "1.0", "2.0")
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One summary per nation: nested maps of averages over its customers."""
+    """One summary per region: nested maps of averages over its customers."""
     cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
-    customers = table(spark, sf_dir, "customer")
-    per_class = customers.groupBy("c_nationkey", "c_mktsegment").agg(
-        F.sum(cents).alias("cents"), F.count("*").alias("n")
+    places = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("run_id"))
+    per_class = (
+        table(spark, sf_dir, "customer")
+        .join(places, "c_nationkey")
+        .groupBy("run_id", "c_mktsegment")
+        .agg(F.sum(cents).alias("cents"), F.count("*").alias("n"))
     )
-    # at most one row per segment is left to collect for a nation
+    # at most one row per segment is left to collect for a region
     entries = F.sort_array(F.collect_list(F.struct("c_mktsegment", "cents", "n")))
-    runs = per_class.groupBy("c_nationkey").agg(
+    runs = per_class.groupBy("run_id").agg(
         entries.alias("e"), F.sum("cents").alias("cents"), F.sum("n").alias("n")
     )
     scale = lambda e, k: e["cents"] / e["n"] / (1000000.0 * k)
@@ -43,9 +48,8 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_class = lambda f: F.map_from_entries(
         F.transform("e", lambda e: F.struct(e["c_mktsegment"], f(e)))
     )
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("run_id"))
     whole = F.struct("cents", "n")
-    return runs.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return runs.select(
         "run_id",
         by_class(aps).alias("label_aps"),
         by_class(errors).alias("label_tp_errors"),
@@ -56,8 +60,9 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS = """
-g AS (SELECT n_name AS run_id, c_mktsegment AS name, sum(round(c_acctbal * 100)::BIGINT) AS cents,
-             count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
+g AS (SELECT r_name AS run_id, c_mktsegment AS name, sum(round(c_acctbal * 100)::BIGINT) AS cents,
+             count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey
+      JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2),
 w AS (SELECT run_id, sum(cents) AS cents, sum(n) AS n FROM g GROUP BY 1),
 c AS (SELECT * FROM g WHERE name IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY')),
 """ + "\n".join(
