@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 
 
 def buckets(spark: SparkSession) -> int:

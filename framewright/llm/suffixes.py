@@ -12,8 +12,8 @@ so only suffixes at anchors need sorting, about one in seventeen.
 3. Those anchors go to their buckets again, with the bytes that their windows
    cover. A stretch that an earlier document of the same shard has in full is
    decided there and not sent.
-4. In a bucket, the suffixes to the right of the anchors, and the reversed
-   ones to the left, are sorted by mergesort. Two suffixes are compared by the
+4. In a bucket, equal stretches become one. The suffixes to the right of the
+   anchors, and the reversed ones to the left, are sorted by mergesort. Two suffixes are compared by the
    longest common extension, found by binary search over prefix polynomial
    hashes. The order is then verified on the bytes; a collision restarts the
    sort with other coefficients. Two windows at the same distance from their
@@ -313,7 +313,17 @@ def _repeated(key, rows: pa.Table, n: int) -> pa.Table:
     ids, check, first, count, offset, h, data = unpack_all(bodies)
     count, offset = count.astype(np.int64), offset.astype(np.int64)
     begin = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
-    row, at, length = _runs(repeated_windows(data, begin, count, offset, h.astype(np.int64), ids))
+    # stretches that are equal throughout are sorted once, under their smallest id
+    whole, places = data.tobytes(), {}
+    bounds = zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), offset.tolist())
+    kind = np.array([places.setdefault((whole[a:b], o), len(places)) for a, b, o in bounds], np.int64)
+    one = np.full(len(places), -1, np.int64)
+    one[kind[::-1]] = np.arange(len(kind))[::-1]
+    least = np.full(len(places), _LAST_ID, np.int64)
+    np.minimum.at(least, kind, ids)
+    flags = repeated_windows(data, begin[one], count[one], offset[one], h[one].astype(np.int64), least)[kind]
+    flags |= (ids > least[kind])[:, None] & (np.arange(flags.shape[1]) < count[:, None])
+    row, at, length = _runs(flags)
     ids, check, first = ids[row], check[row], (first[row] + at).astype(np.uint32)
     return pa.table(_rows("shard", [(s, pack(*x)) for s, *x in split_by(_shard(ids, n), ids, check, first, length.astype(np.uint32))]))
 
