@@ -72,20 +72,20 @@ class NoticeSearch:
         best: dict[int, tuple[int, int, int]] = {}
         if not len(self.seeds):
             return best
-        tried: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
         for last, (size, places) in self.seeds.iter(line):
             for k, at in places:
                 notice = self.notices[k][0]
                 start = max(0, last - size + 1 - at - self.edits)
                 end = last - size + 1 - at + len(notice) + self.edits
-                if tried.get(k, -1) >= start or k in best and best[k][2] == 0:
+                if (k, start) in tried or k in best and best[k][2] == 0:
                     continue
                 m = self.patterns[k].search(line, start, min(len(line), end + 1))
                 if m:
                     found = (m.start(), m.end(), sum(m.fuzzy_counts))
                     if k not in best or found[2] < best[k][2]:
                         best[k] = found
-                tried[k] = start
+                tried.add((k, start))
         return best
 
 

@@ -13,9 +13,9 @@ so only suffixes at anchors need sorting, about one in seventeen.
    cover. A stretch that an earlier document of the same shard has in full is
    decided there and not sent.
 4. In a bucket, equal stretches become one. The suffixes to the right of the
-   anchors, and the reversed ones to the left, are sorted by mergesort. Two suffixes are compared by the
-   longest common extension, found by binary search over prefix polynomial
-   hashes. The order is then verified on the bytes; a collision restarts the
+   anchors, and the reversed ones to the left, are sorted by mergesort. Two
+   suffixes are compared by the longest common extension, found by binary
+   search over prefix polynomial hashes. The order is then verified on the bytes; a collision restarts the
    sort with other coefficients. Two windows at the same distance from their
    anchor are equal if nothing shorter lies between them in either order.
 5. The removed ranges meet their documents.
@@ -40,7 +40,9 @@ from framewright.llm.blobs import buckets, delta, encoded, pack, pieces, split_b
 
 WINDOW, GRAM = 50, 16
 _LAST_ID = (1 << 63) - 1
-_TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_TABLE = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_TABLE = (_TABLE ^ (_TABLE >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+_TABLE = (_TABLE ^ (_TABLE >> np.uint64(27))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
 _FOLDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _AT_ONCE = 1 << 17
 _PIECE = 16 << 20

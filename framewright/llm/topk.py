@@ -32,6 +32,11 @@ def _parts(width: int, lists: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
+def _floored(m: np.ndarray, scale: int) -> np.ndarray:
+    m = np.floor(scale * m)
+    return m.astype(np.int32) if np.abs(m).max(initial=0) < 1 << 31 else m
+
+
 def _table(query, vec, score) -> pa.Table:
     return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})
 
@@ -53,11 +58,10 @@ def top_k(
     n_asked, asked_width = asked.agg(F.count("*"), F.max(F.size("_v"))).first()
     width = max(width or 1, asked_width or 1)
     parts = _parts(width, lists)
-    whole = lambda m: np.floor(scale * m).astype(np.int32)
     n_v, by_v = spread(n, vector_block)
     n_q, by_q = spread(n_asked, query_block)
-    candidates = materialize(packed_blocks(rows, by_v, width, whole), "vectors")
-    blocks = materialize(packed_blocks(asked, by_q, width, whole), "queries")
+    candidates = materialize(packed_blocks(rows, by_v, width, lambda m: _floored(m, scale)), "vectors")
+    blocks = materialize(packed_blocks(asked, by_q, width, lambda m: _floored(m, scale)), "queries")
     schema = "query_id long, vec_id long, score long"
 
     def partial(q, c):

@@ -13,8 +13,9 @@ do not make a large task. Scores are taken in doubles on the original vectors.
 
 Rows with a null id or vector, with null or non-finite components, or of zero
 length take no part; shorter vectors count as filled with zeros; rows that
-repeat an id count once. With fewer than k candidates found, fewer are
-returned; a tree of one leaf finds all.
+repeat an id count once, with the best score of their vectors. A query goes on
+to further leaves until those hold more than k ids; with fewer than k
+candidates all are returned.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ from framewright.session import materialize
 class Tree:
     """Centres of the nodes, level by level; the children of a node are next to each other."""
 
-    def __init__(self, sample: np.ndarray, branches: int, leaf_rows: int, rounds: int = 12, seed: int = 3):
+    def __init__(self, sample: np.ndarray, branches: int, leaf_rows: int, rounds: int = 12):
         self.centre: list[np.ndarray] = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])]
         self.children: list[list[int]] = [[]]
         self.leaf: list[int] = [-1]
-        rng, waiting, leaves = np.random.default_rng(seed), [(0, sample)], 0
+        waiting, leaves = [(0, sample)], 0
         while waiting:
             node, rows = waiting.pop(0)
-            parts = _k_means(rows, branches, rounds, rng) if len(rows) > leaf_rows else []
+            parts = _k_means(rows, branches, rounds) if len(rows) > leaf_rows else []
             if len(parts) < 2:
                 self.leaf[node], leaves = leaves, leaves + 1
                 continue
@@ -64,21 +65,23 @@ class Tree:
             open_ = open_[leaf[node[open_]] < 0]
         return leaf[node]
 
-    def best_bins(self, query: np.ndarray, visits: int) -> list[int]:
-        """The leaves to visit, the most promising first."""
+    def best_bins(self, query: np.ndarray, visits: int, sizes: np.ndarray | None = None, enough: int = 0) -> list[int]:
+        """The leaves to visit, the most promising first, and more while they hold fewer rows than ``enough``."""
         promise = self.centres @ query
-        queue, out = [(-promise[0], 0)], []
-        while queue and len(out) < visits:
+        queue, out, held = [(-promise[0], 0)], [], 0
+        while queue and (len(out) < visits or held < enough):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                held += int(sizes[self.leaf[node]]) if sizes is not None else 0
             for kid in self.children[node]:
                 heapq.heappush(queue, (-promise[kid], kid))
         return out
 
 
-def _k_means(rows: np.ndarray, k: int, rounds: int, rng) -> list[tuple[np.ndarray, np.ndarray]]:
-    centres = np.unique(rows[rng.choice(len(rows), min(k, len(rows)), replace=False)], axis=0)
+def _k_means(rows: np.ndarray, k: int, rounds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centres and their rows. The sample is in the order of a hash, so its first rows are a fair start."""
+    centres = np.unique(rows[:k], axis=0)
     for _ in range(rounds):
         near = np.argmin((centres * centres).sum(1) - 2 * rows @ centres.T, axis=1)
         used = np.unique(near)
@@ -148,8 +151,9 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["_id", "_v", "leaf"])
 
     placed = materialize(rows.mapInArrow(place, "_id long, _v array<double>, leaf int"), "placed")
-    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
-    chunks = np.array([-(-sizes.get(leaf, 0) // chunk_rows) for leaf in range(tree.leaves)])
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.countDistinct("_id").alias("n")).collect()}  # one row a leaf
+    rows_in = np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)])
+    chunks = -(-rows_in // chunk_rows)
 
     def try_out(batches):
         for batch in batches:
@@ -169,7 +173,7 @@ def nearest(
             ids, m = batch.column(0).to_numpy(), matrix(batch.column(1), width)
             to: dict[tuple[int, int], list[int]] = {}
             for r, q in enumerate(m):
-                for leaf in tree.best_bins(q, visits):
+                for leaf in tree.best_bins(q, visits, rows_in, k + 1):
                     to.setdefault((leaf, int(ids[r]) % n_parts), []).append(r)
             out = [(leaf, chunk, part, pack(ids[r], m[r])) for (leaf, part), r in to.items() for chunk in range(chunks[leaf])]
             yield pa.RecordBatch.from_pydict({"leaf": pa.array([o[0] for o in out], pa.int32()), "chunk": pa.array([o[1] for o in out], pa.int32()), "part": pa.array([o[2] for o in out], pa.int32()), "body": pa.array([o[3] for o in out], pa.binary())})
@@ -202,6 +206,7 @@ def nearest(
     kept_cells = placed.mapInArrow(keep, "leaf int, chunk int, body binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
     keys = ("leaf", "chunk", "part")
     found = asked_cells.groupBy(*keys).cogroup(kept_cells.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
