@@ -47,6 +47,8 @@ _FOLDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x
 _AT_ONCE = 1 << 17
 _PIECE = 16 << 20
 _SHARD_PRIME = 1_000_003
+#: bytes of text for which a bucket and a shard are worth while: every bucket may write a row for every shard
+_BUCKET_BYTES = 8 << 20
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -260,7 +262,10 @@ def _send_hashes(batches, n: int):
 def _shared_anchors(key, rows: pa.Table, n: int) -> pa.Table:
     bodies = rows.column("body").to_pylist()
     if key[0].as_py() >= n:
-        return pa.table(_rows("shard", [(key[0].as_py() - n, b) for b in bodies]))
+        parts = [unpack(b) for b in bodies]
+        ids, at = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(ids, kind="stable")
+        return pa.table(_rows("shard", [(key[0].as_py() - n, pack(delta(ids[order]), at[order]))]))
     parts = [unpack(b) for b in bodies]
     h, at, known = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
     ids = np.concatenate([np.cumsum(p[1]) for p in parts])
@@ -367,7 +372,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``kept_text`` leaves out the bytes of characters of which only a part remains.
     """
-    n = buckets(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    n = max(1, min(buckets(docs.sparkSession), -(-size // _BUCKET_BYTES)))
     columns = [doc_id, *(keep or [])]
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST_ID))
     source = docs.select(order.alias("_order"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(columns)])
