@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F
 
 
 def seeded_draw(key: Column, seed: int, n: int | Column) -> Column:
-    """Integer in ``[0, n)`` from the first 32 bits of ``md5("seed:key")``."""
+    """Integer in ``[0, n)`` from the first 60 bits of ``md5("seed:key")``."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    word = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    word = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     return word % (F.lit(n) if isinstance(n, int) else n)
 
 

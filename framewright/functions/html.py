@@ -48,6 +48,19 @@ def element_bodies(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
+def well_formed(markup: Column, tag: str, inner: str | None = None) -> Column:
+    """True if every ``tag``, and every ``inner`` one, is closed and un-nested,
+    and no ``inner`` one stands outside: then ``element_bodies`` finds them all.
+    """
+    names = "|".join([tag, inner] if inner else [tag])
+    text = rf"[^<]*+(?:<(?!/?(?i:{names})\b)[^<]*+)*+"
+
+    def elements(name: str, body: str) -> str:
+        return rf"{text}(?:<(?i:{name})\b{_ATTRIBUTES}(?<!/)>{body}</(?i:{name})\s*+>{text})*+"
+
+    return markup.rlike(rf"\A{elements(tag, elements(inner, text) if inner else text)}\z")
+
+
 def cell_texts(row: Column, tag: str) -> Column:
     """Stripped text of every cell of a row of ``plain_markup``.
 
@@ -80,10 +93,11 @@ def _decode_cells(cells: pa.Array) -> pa.Array:
 _decode_cells = _decode_cells.asNondeterministic()
 
 
-def decode_references(cells: Column) -> Column:
+def decode_references(cells: Column, done: Column | None = None) -> Column:
     """Decode character references and strip what they turn into.
 
-    Rows without any reference reach Python as nulls only.
+    Rows without any reference, or ``done`` before, reach Python as nulls only.
     """
-    coded = F.when(F.exists(cells, lambda c: c.contains("&")), cells)
+    wanted = F.exists(cells, lambda c: c.contains("&"))
+    coded = F.when(wanted if done is None else wanted & ~done, cells)
     return F.coalesce(_decode_cells(coded), cells)

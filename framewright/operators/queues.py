@@ -24,6 +24,7 @@ from framewright.functions.draws import clamp_index, seeded_draw
 from framewright.operators.indexing import dense_index
 
 BLOCK_ROWS = 512
+DRAWS_PER_COPY = 1000
 
 
 def history_window(
@@ -162,28 +163,39 @@ def replace_rejected(
 ) -> DataFrame:
     """Give every rejected queue number the content of a drawn accepted one.
 
-    Sorting the accepted queues first makes their position their rank, so one
-    index serves both sides; the drawn ranks are uniform, so the join on the
-    rank has no hot key. Without any accepted queue the result is empty.
+    Sorting the accepted queues first makes their position their rank. Only
+    queue numbers are indexed; content is fetched once the donors are drawn.
+    Each donor is copied often enough that about ``DRAWS_PER_COPY`` rejected
+    queues meet one copy, so few donors for many queues make no hot key, and
+    the copies stay below the number of all queues. Without any accepted queue
+    it is an error, as the number of queues could not stay the same.
     """
     content = [c for c in queues.columns if c != "queue_no"]
+    accepted = queue_accepted(labels)
     ranked = dense_index(
-        queues.withColumn("_bad", ~queue_accepted(labels)),
+        queues.select("queue_no", (~accepted).alias("_bad")),
         ["_bad", "queue_no"],
         name="_rank",
         partitions=partitions,
     )
-    kept = ranked.where(~F.col("_bad"))
-    total = kept.count()
-    as_is = kept.select("queue_no", F.col("queue_no").alias("source_queue_no"), *content)
-    if total == 0:
+    counts = {r["_bad"]: r["count"] for r in ranked.groupBy("_bad").count().collect()}  # two rows
+    total, rejected = counts.get(False, 0), counts.get(True, 0)
+    as_is = queues.where(accepted).select("queue_no", F.col("queue_no").alias("source_queue_no"), *content)
+    if not rejected:
         return as_is
-    donors = kept.select("_rank", F.col("queue_no").alias("source_queue_no"), *content)
+    if not total:
+        raise ValueError("no queue is accepted, so none can replace the rejected ones")
+    n_copies = -(-rejected // (total * DRAWS_PER_COPY))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(n_copies - 1))).alias("_copy")
     drawn = ranked.where("_bad").select(
-        "queue_no", seeded_draw(F.col("queue_no"), seed, total).alias("_rank")
+        "queue_no",
+        seeded_draw(F.col("queue_no"), seed, total).alias("_rank"),
+        F.pmod(F.xxhash64("queue_no"), F.lit(n_copies)).cast("int").alias("_copy"),
     )
-    replaced = drawn.join(donors, "_rank").select("queue_no", "source_queue_no", *content)
-    return as_is.unionByName(replaced)
+    donors = ranked.where(~F.col("_bad")).select("_rank", F.col("queue_no").alias("source_queue_no"), copies)
+    contents = queues.where(accepted).select(F.col("queue_no").alias("source_queue_no"), *content, copies)
+    replaced = drawn.join(donors, ["_rank", "_copy"]).join(contents, ["source_queue_no", "_copy"])
+    return as_is.unionByName(replaced.select("queue_no", "source_queue_no", *content))
 
 
 def scene_start_flag(queues: DataFrame, scene: str = "scene_token") -> DataFrame:

@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framewright.functions import html as H
 
@@ -31,8 +32,15 @@ _DIALECT = "(?d)(?U)"
 def extract_table_rows(
     docs: DataFrame, keys: Sequence[str] = ("path",), html: str = "html", row_tag: str = "tr"
 ) -> DataFrame:
-    """One row per table row of a document: keys, ``row_no``, ``row_html``."""
-    bodies = H.element_bodies(H.visible_markup(F.col(html)), row_tag)
+    """One row per table row of a document: keys, ``row_no``, ``row_html``.
+
+    Documents with nested or unclosed rows take the tag stack instead of the
+    pattern, so no row is lost.
+    """
+    docs = docs.select(*keys, F.col(html).alias("_html"), H.visible_markup(F.col(html)).alias("_plain"))
+    odd = F.when(~H.well_formed(F.col("_plain"), row_tag), F.col("_html"))
+    docs = docs.select(*keys, "_plain", _row_markup(row_tag)(odd).alias("_nested"))
+    bodies = F.coalesce("_nested", H.element_bodies(F.col("_plain"), row_tag))
     return docs.select(*keys, F.posexplode(bodies).alias("row_no", "row_html"))
 
 
@@ -42,13 +50,18 @@ def extract_row_cells(rows: DataFrame, cell_tag: str = "td", unescape: bool = Tr
     A row without such cells, a header, gets an empty array. Turn
     ``unescape`` off if the reports hold no character references.
     """
-    plain = H.plain_markup(F.col("row_html"), cell_tag)
-    rows = rows.withColumn("cells", H.cell_texts(plain, cell_tag)).drop("row_html")
-    return decode_cells(rows) if unescape else rows
+    others = [F.col(f"`{c}`") for c in rows.columns if c != "row_html"]
+    rows = rows.withColumn("_plain", H.plain_markup(F.col("row_html"), cell_tag))
+    odd = F.when(~H.well_formed(F.col("_plain"), cell_tag), F.col("row_html"))
+    rows = rows.select(*others, "_plain", _row_cells(cell_tag)(odd).alias("_nested"))
+    cells = F.coalesce("_nested", H.cell_texts(F.col("_plain"), cell_tag))
+    rows = rows.select(*others, cells.alias("cells"), F.col("_nested").isNotNull().alias("_done"))
+    return (decode_cells(rows) if unescape else rows).drop("_done")
 
 
 def decode_cells(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("cells", H.decode_references(F.col("cells")))
+    """Decode the cells but those of rows that are ``_done``."""
+    return rows.withColumn("cells", H.decode_references(F.col("cells"), F.col("_done")))
 
 
 def extract_cells_tolerant(
@@ -96,21 +109,45 @@ class _CellReader(HTMLParser):
     def __init__(self, row_tag: str, cell_tag: str) -> None:
         super().__init__(convert_charrefs=True)
         self.row_tag, self.cell_tag = row_tag, cell_tag
-        self.rows: list[list[list[str]]] = []
-        self.open: list[tuple[str, list | None]] = []
+        self.rows: list[tuple[list[int], list[list[int]]]] = []  # span of markup, spans of text
+        self.open: list[tuple[str, tuple | list | None]] = []
+        self.texts: list[str] = []
+        self.size = 0
+
+    def read(self, html: str) -> None:
+        self.lines = [0, *(i + 1 for i, c in enumerate(html) if c == "\n")]
+        self.feed(html)
+        self.close()
+        self._end(0, len(html))
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _end(self, depth: int, at: int) -> None:
+        for name, target in self.open[depth:]:
+            if name == self.row_tag:
+                target[0].append(at)
+            elif name == self.cell_tag:
+                target.append(self.size)
+        del self.open[depth:]
+
+    def cells(self) -> list[list[str]]:
+        text = "".join(self.texts)
+        return [[text[slice(*cell)].strip() for cell in row] for _, row in self.rows]
 
     def handle_starttag(self, tag, attrs):
         if tag in self.VOID:
             return
-        target: list | None = None
+        target = None
         if tag == self.row_tag:
-            target = []
+            target = ([self._at() + len(self.get_starttag_text())], [])
             self.rows.append(target)
         elif tag == self.cell_tag:
-            target = []
+            target = [self.size]
             for name, row in self.open:
                 if name == self.row_tag:
-                    row.append(target)
+                    row[1].append(target)
         self.open.append((tag, target))
 
     def handle_startendtag(self, tag, attrs):
@@ -120,22 +157,48 @@ class _CellReader(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+                return self._end(i, self._at())
 
     def handle_data(self, data):
         if self.open and self.open[-1][0] in ("script", "style"):
             return
-        for name, text in self.open:
-            if name == self.cell_tag:
-                text.append(data)
+        self.texts.append(data)
+        self.size += len(data)
 
 
 def _nested_cells(text: str, row_tag: str, cell_tag: str) -> list[list[str]]:
     reader = _CellReader(row_tag, cell_tag)
-    reader.feed(text)
-    reader.close()
-    return [["".join(cell).strip() for cell in row] for row in reader.rows]
+    reader.read(text)
+    return reader.cells()
+
+
+def _of_irregular(parse, kind: T.DataType):
+    """``parse`` of the texts that are not null: regular documents reach Python as nulls."""
+
+    @F.arrow_udf(kind)
+    def parsed(texts: pa.Array) -> pa.Array:
+        found = [None if t is None else parse(t) for t in texts.to_pylist()]
+        return pa.array(found, to_arrow_type(kind))
+
+    return parsed.asNondeterministic()
+
+
+def _row_cells_of_documents(row_tag: str, cell_tag: str):
+    return _of_irregular(lambda t: _nested_cells(t, row_tag, cell_tag), T.ArrayType(T.ArrayType(T.StringType())))
+
+
+def _row_cells(cell_tag: str):
+    # the row's own tags are gone, so all of the markup is one row
+    return _of_irregular(lambda t: _nested_cells(f"<tr>{t}", "tr", cell_tag)[0], T.ArrayType(T.StringType()))
+
+
+def _row_markup(row_tag: str):
+    def parse(text: str) -> list[str]:
+        reader = _CellReader(row_tag, "")
+        reader.read(text)
+        return [text[slice(*span)] for span, _ in reader.rows]
+
+    return _of_irregular(parse, T.ArrayType(T.StringType()))
 
 
 def filter_nonempty_rows(rows: DataFrame) -> DataFrame:
@@ -253,14 +316,19 @@ def table_cells(
     """Keys, ``row_no`` and ``cells`` of every table row, in one step.
 
     The cells are cut inside the generator, so later filters on them do not
-    make Catalyst repeat the work.
+    make Catalyst repeat the work. Only documents with nested or unclosed tags
+    are read by the tag stack; ``tolerant`` reads all of them that way.
     """
     if tolerant:
         return extract_cells_tolerant(docs, keys, "html", row_tag, cell_tag)
-    bodies = H.element_bodies(H.plain_markup(F.col("html"), row_tag, cell_tag), row_tag)
-    cells = F.transform(bodies, lambda row: H.cell_texts(row, cell_tag))
-    rows = docs.select(*keys, F.posexplode(cells).alias("row_no", "cells"))
-    return decode_cells(rows) if unescape else rows
+    plain = H.plain_markup(F.col("html"), row_tag, cell_tag)
+    docs = docs.select(*keys, F.col("html").alias("_html"), plain.alias("_plain"))
+    odd = F.when(~H.well_formed(F.col("_plain"), row_tag, cell_tag), F.col("_html"))
+    docs = docs.select(*keys, "_plain", _row_cells_of_documents(row_tag, cell_tag)(odd).alias("_nested"))
+    bodies = H.element_bodies(F.col("_plain"), row_tag)
+    cells = F.coalesce("_nested", F.transform(bodies, lambda row: H.cell_texts(row, cell_tag)))
+    rows = docs.select(*keys, F.col("_nested").isNotNull().alias("_done"), F.posexplode(cells).alias("row_no", "cells"))
+    return (decode_cells(rows) if unescape else rows).drop("_done")
 
 
 def layer_wide_report(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,11 @@ def build_session(app: str, cpus: str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+@cache
+def _temporary_folder() -> str:
+    return tempfile.mkdtemp(prefix="framewright-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
@@ -39,9 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="framewright-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return _temporary_folder()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -8,10 +8,11 @@ from framewright.operators.metrics import SUMMARY_SCHEMA
 
 
 def scan_metrics_summary(
-    spark: SparkSession, paths: str | list[str], run_id: str = "path"
+    spark: SparkSession, paths: str | list[str], run_id: str = "path", name: str = "metrics_summary.json"
 ) -> DataFrame:
     """Summaries of many runs, one JSON file each; broken files are errors.
 
+    Only files called ``name``, a glob pattern, are summaries.
     ``run_id`` is the path of the file or the name of its folder.
     """
     if run_id not in ("path", "folder"):
@@ -23,6 +24,7 @@ def scan_metrics_summary(
         .option("multiLine", True)
         .option("mode", "FAILFAST")
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", name)
         .json(paths)
         .select(run.alias("run_id"), "*")
     )

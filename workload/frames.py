@@ -382,7 +382,7 @@ def q_test_view(spark, sf_dir):
     f"""WITH {INFOS}, l AS (SELECT doc_id AS frame_no, quality <> 0 OR toxic <> -1 AS good FROM labels),
     h AS (SELECT f.frame_no AS queue_no, p.pos, greatest(0, f.frame_no - 3 + p.pos) AS frame_no
           FROM f CROSS JOIN (SELECT unnest(range(0, 4)) AS pos) p),
-    d AS (SELECT * FROM h WHERE pos <> ('0x' || substr(md5('7:' || queue_no), 1, 8))::BIGINT % 3),
+    d AS (SELECT * FROM h WHERE pos <> ('0x' || substr(md5('7:' || queue_no), 1, 15))::BIGINT % 3),
     s AS (SELECT d.queue_no, (row_number() OVER (PARTITION BY d.queue_no ORDER BY d.pos) - 1)::INT AS slot,
                  f.*, coalesce(l.good, false) AS good
           FROM d JOIN f USING (frame_no) LEFT JOIN l USING (frame_no)),

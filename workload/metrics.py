@@ -157,6 +157,6 @@ def q_scan_metrics_summary(spark, sf_dir):
     """Summaries written as JSON, one folder per run, and read back."""
     path = f"{shared_folder(spark)}/framewright/summaries-{uuid.uuid4().hex}"
     summaries(spark, sf_dir).write.partitionBy("run_id").json(path)
-    runs = scan_metrics_summary(spark, path, run_id="folder")
+    runs = scan_metrics_summary(spark, path, run_id="folder", name="*.json")
     runs = runs.withColumn("run_id", F.url_decode(F.regexp_replace("run_id", "^run_id=", "")))
     return M.flatten_metrics(runs, CLASSES, ERROR_NAMES)

@@ -50,7 +50,7 @@ HISTORY = FRAMES + f""",
 h AS (SELECT f.frame_no AS queue_no, p.pos::INT AS pos, f.frame_no - {LENGTH} + p.pos AS wanted,
              greatest(0, f.frame_no - {LENGTH} + p.pos) AS frame_no
       FROM f CROSS JOIN (SELECT unnest(range(0, {LENGTH + 1})) AS pos) p)"""
-DRAW = "('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT % {n}"
+DRAW = "('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT % {n}"
 KEPT = HISTORY + f""",
 d AS (SELECT * FROM h WHERE pos <> {DRAW.format(seed=SEED, key='queue_no', n=LENGTH)})"""
 SLOTS = KEPT + """,

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.operators import reports as R
-from framewright.session import shared_folder
+from framewright.session import materialize, shared_folder
 from framewright.sources.reports import reports_from_table, write_report
 from workload.registry import query, spread_table
 
@@ -262,7 +262,7 @@ def q_layer_prefix_report(spark, sf_dir):
 
 @query("union_layers", LONG)
 def q_union_layers(spark, sf_dir):
-    cells = line_cells(spark, sf_dir)
+    cells = materialize(line_cells(spark, sf_dir), "cells")  # parsed once, read by every part
     return R.union_layers([R.layer_long_report(cells, layers=[i]) for i in LAYERS])
 
 
@@ -271,3 +271,27 @@ def q_write_report(spark, sf_dir):
     path = f"{shared_folder(spark)}/framewright/report-{uuid.uuid4().hex}"
     write_report(R.layer_long_report(line_cells(spark, sf_dir)), path)
     return spark.read.parquet(path)
+
+
+@query(
+    "table_cells_irregular",
+    """WITH l AS (SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber,
+        l_orderkey::BIGINT::VARCHAR AS a, l_partkey::BIGINT::VARCHAR AS b, l_suppkey::BIGINT::VARCHAR AS c,
+        l_linenumber::BIGINT % 3 AS k FROM lineitem)
+    SELECT l_orderkey, l_linenumber, 0::INT AS row_no, CASE k WHEN 0 THEN a || '|' || b
+        WHEN 1 THEN a || b || c || '|' || b || c || '|' || c ELSE a || b || '|' || b || '|' || c END AS cells FROM l
+    UNION ALL SELECT l_orderkey, l_linenumber, 1::INT, CASE k WHEN 2 THEN b ELSE c END FROM l""",
+)
+def q_table_cells_irregular(spark, sf_dir):
+    """Of every three reports one is regular, one omits its end tags, one has a nested table."""
+    keys = [F.col(c).cast("bigint").alias(c) for c in ("l_orderkey", "l_linenumber")]
+    a, b, c = (F.col(f"l_{x}key").cast("bigint") for x in ("order", "part", "supp"))
+    kind = F.col("l_linenumber").cast("bigint") % 3
+    html = (
+        F.when(kind == 0, F.format_string("<table><tr><td>%d</td><td>%d</td></tr><tr><td>%d</td></tr></table>", a, b, c))
+        .when(kind == 1, F.format_string("<table><tr><td>%d<td>%d<tr><td>%d</table>", a, b, c))
+        .otherwise(F.format_string("<tr><td>%d<table><tr><td>%d</td></tr></table></td><td>%d</td></tr>", a, b, c))
+    )
+    docs = spread_table(spark, sf_dir, "lineitem").select(*keys, html.alias("html"))
+    rows = R.table_cells(docs, ["l_orderkey", "l_linenumber"])
+    return rows.withColumn("cells", F.array_join("cells", "|"))
