@@ -85,6 +85,12 @@ def test_broken_file_fails(spark, tmp_path):
         scan_metrics_summary(spark, str(tmp_path)).collect()
 
 
+def test_neighbouring_files_are_no_summaries(spark, tmp_path):
+    for name in ("metrics_summary.json", "metrics_details.json"):
+        (tmp_path / name).write_text(json.dumps(SUMMARY) if "summary" in name else "{}")
+    assert scan_metrics_summary(spark, str(tmp_path)).count() == 1
+
+
 def test_exact_rounding(spark):
     values = [2.00005, 5e-05, -1.00005, 0.12345, 1e20, None]
     rows = spark.createDataFrame([(v,) for v in values], "v double")

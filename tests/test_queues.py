@@ -59,9 +59,18 @@ def test_label_filter_and_replacement(frames):
         assert [m.frame_no for m in r.members] == ([0, 0, 0] if r.source_queue_no == 0 else [2, 3, 4])
 
 
-def test_no_accepted_queue_gives_no_rows(frames):
+def test_donors_in_several_copies(frames, monkeypatch):
+    queues = oldest_dropped(frames)
+    once = sorted((r.queue_no, r.source_queue_no) for r in Q.replace_rejected(queues, seed=3).collect())
+    monkeypatch.setattr(Q, "DRAWS_PER_COPY", 1)
+    assert sorted((r.queue_no, r.source_queue_no) for r in Q.replace_rejected(queues, seed=3).collect()) == once
+
+
+def test_no_accepted_queue_is_an_error(frames):
     queues = oldest_dropped(frames.withColumn("gt_labels", F.array(F.lit(-1))))
-    assert Q.replace_rejected(queues, seed=3).count() == 0
+    with pytest.raises(ValueError, match="no queue is accepted"):
+        Q.replace_rejected(queues, seed=3)
+    assert Q.replace_rejected(queues.where("false"), seed=3).count() == 0
 
 
 def test_ground_truth(spark):

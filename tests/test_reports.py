@@ -43,6 +43,31 @@ def test_separate_steps_equal_the_joint_one(docs, cells):
     assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, cells.collect()))
 
 
+IRREGULAR = [
+    ("omitted cell ends", "<table><tr><td>name<td>a &amp;lt; b</tr></table>"),
+    ("omitted row end", table_html(ROWS[:2]).replace("</tr>", "", 2)),
+    ("nested", "<tr><td>x<table><tr><td>in</td></tr></table></td><td>&nbsp;y</td></tr>"),
+    ("many unclosed", "<tr>" + "<td>1" * 300),
+    ("empty elements", "<tr/><tr><td/>x</td><td>y</td></tr>"),
+    ("stray ends", "</td><tr></td><td>z</td></tr></tr>\n<!-- <tr> -->"),
+    ("end with attribute", "<tr><td>q</td class='x'></tr>"),
+    ("regular", table_html([("a &amp;lt; b", "3 < 4", "<b title='<tr>'>c</b>")])),
+    ("no table", "text"),
+    ("empty", ""),
+    ("null", None),
+]
+
+
+def test_no_row_is_lost_without_end_tags_or_in_nested_tables(spark):
+    docs = spark.createDataFrame(IRREGULAR, "path string, html string")
+    expected = sorted(map(tuple, R.table_cells(docs, tolerant=True).collect()))
+    assert sorted(map(tuple, R.table_cells(docs).collect())) == expected
+    apart = R.extract_row_cells(R.extract_table_rows(docs))
+    assert sorted(map(tuple, apart.collect())) == expected
+    assert ("omitted cell ends", 0, ["namea &lt; b", "a &lt; b"]) in expected
+    assert ("nested", 0, ["xin", "in", "y"]) in expected and ("nested", 1, ["in"]) in expected
+
+
 def test_wide_report(docs):
     wide = {r[1]: r.asDict() for r in R.layer_wide_report(R.layer_rows(docs)).collect()}
     assert set(wide) == {
