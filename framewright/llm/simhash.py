@@ -188,8 +188,10 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = 3) -> DataFrame:
-    """The documents without those whose component holds a smaller id.
+    """The documents without those whose component of fingerprints holds a smaller id.
 
+    No text is compared: texts that share a frequent line can have near
+    fingerprints. ``near.keep_first_of_near_copies`` compares the shingles.
     Rows that repeat the smallest id itself all stay: they are one document.
     """
     found = simhash_components(docs, doc_id, text, size, distance)
