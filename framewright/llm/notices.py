@@ -6,7 +6,8 @@ up to ``edits`` wrong, missing or added characters: such a notice is split
 into ``edits + 1`` parts, of which one must be intact (the pigeonhole
 principle). One automaton finds all intact parts in a pass; around each, the
 regex library's bounded-error matching verifies the notice and gives its span
-and errors.
+and errors. Every place of a notice has its span; of spans of one notice that
+overlap, the one with the fewest errors stays.
 
 Nulls and texts without words have zero counts, null positions, no labels and
 score 0. Rows are independent: no shuffle. A whole text is read, and its
@@ -15,6 +16,7 @@ memory is a few times its size.
 
 from __future__ import annotations
 
+from bisect import bisect
 from functools import lru_cache
 
 import ahocorasick
@@ -67,26 +69,40 @@ class NoticeSearch:
         # whole words only, so that a notice does not match inside a longer one
         self.patterns = [regex.compile(rf"(?be)(?<![^ ])(?:{regex.escape(n)}){{e<={edits}}}(?![^ ])") for n, _ in notices]
 
-    def find(self, line: str) -> dict[int, tuple[int, int, int]]:
-        """For each notice found: start, end and errors of its best span, the first of equal ones."""
-        best: dict[int, tuple[int, int, int]] = {}
+    def find_all(self, line: str) -> dict[int, list[tuple[int, int, int]]]:
+        """For each notice found: start, end and errors of its spans in order; of those that overlap, the ones with the fewest errors."""
+        found: dict[int, set[tuple[int, int, int]]] = {}
         if not len(self.seeds):
-            return best
-        tried: set[tuple[int, int]] = set()
+            return {}
+        tried: dict[int, int] = {}
+        intact: dict[int, int] = {}  # where the last span without errors ends
         for last, (size, places) in self.seeds.iter(line):
             for k, at in places:
-                notice = self.notices[k][0]
-                start = max(0, last - size + 1 - at - self.edits)
-                end = last - size + 1 - at + len(notice) + self.edits
-                if (k, start) in tried or k in best and best[k][2] == 0:
+                notice, first = self.notices[k][0], last - size + 1
+                start, end = max(0, first - at - self.edits), first - at + len(notice) + self.edits
+                if first < intact.get(k, 0) or tried.get(k) == start:
                     continue
+                tried[k] = start
                 m = self.patterns[k].search(line, start, min(len(line), end + 1))
                 if m:
-                    found = (m.start(), m.end(), sum(m.fuzzy_counts))
-                    if k not in best or found[2] < best[k][2]:
-                        best[k] = found
-                tried.add((k, start))
-        return best
+                    found.setdefault(k, set()).add((m.start(), m.end(), sum(m.fuzzy_counts)))
+                    if not sum(m.fuzzy_counts):
+                        intact[k] = max(intact.get(k, 0), m.end())
+        return {k: apart(spans) for k, spans in found.items()}
+
+    def find(self, line: str) -> dict[int, tuple[int, int, int]]:
+        """For each notice found: start, end and errors of its best span, the first of equal ones."""
+        return {k: min(spans, key=lambda s: s[2]) for k, spans in self.find_all(line).items()}
+
+
+def apart(spans) -> list[tuple[int, int, int]]:
+    """Spans that do not overlap, in order: each in turn by errors, then by place, if it is clear of those before."""
+    out: list[tuple[int, int, int]] = []
+    for span in sorted(spans, key=lambda s: (s[2], s)):
+        k = bisect(out, span)
+        if (not k or out[k - 1][1] <= span[0]) and (k == len(out) or span[1] <= out[k][0]):
+            out.insert(k, span)
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -112,7 +128,7 @@ def scan_notices(
 
     ``score`` is 1 with a base phrase, else the best share of a notice's
     characters that needed no edit. ``spans`` gives label, first and last word
-    and edits of every notice found with or without errors.
+    and edits of every place of every notice, with or without errors.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     span = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("edits", pa.int64())])
@@ -123,11 +139,16 @@ def scan_notices(
         line = b" " + b" ".join(words) + b" "
         found = {label: at for phrase, label in base if (at := places_of(line, phrase.encode()))}
         labels, score, spans = set(found), 1.0 if found else 0.0, []
-        for k, (start, end, errors) in _search(notices, edits).find(line.decode("latin-1").strip(" ")).items():
+        read = line.decode("utf-8", "surrogatepass").strip(" ")  # an edit is a character, not a byte
+        for k, at in _search(notices, edits).find_all(read).items():
             notice, label = notices[k]
             labels.add(label)
-            score = max(score, 1 - errors / len(notice))
-            spans.append({"label": label, "first": line.count(b" ", 1, start + 1), "last": line.count(b" ", 1, end + 1), "edits": errors})
+            word, counted = 0, 0
+            for start, end, errors in at:
+                score = max(score, 1 - errors / len(notice))
+                first = word + read.count(" ", counted, start)
+                word, counted = first + read.count(" ", start, end), end
+                spans.append({"label": label, "first": first, "last": word, "edits": errors})
         places = [p for at in found.values() for p in at]
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found)), ",".join(sorted(labels)), score, spans
 

@@ -162,6 +162,18 @@ def test_a_false_seed_does_not_hide_a_notice():
     assert search.find("zz abcd abxd efgh ijkl")[0][2] == 1
 
 
+def test_every_place_of_a_notice_has_a_span(spark):
+    apache, mit = notices.NOTICES[0][0], notices.NOTICES[1][0]
+    wrong = apache.replace("under", "undr")
+    rows = [(1, f"{apache} x {wrong} y {apache} {mit} z {apache}", None), (2, f"x {apache} " * 50, None), (3, apache.replace("e", "é", 2), None), (4, apache.replace("e", "é", 3), None), (5, "é è " + apache.replace("a", "а", 2), None)]
+    got = by_id(notices.scan_notices(table(spark, rows)))
+    spans = lambda i: [(s["label"], s["first"], s["last"], s["edits"]) for s in got[i][0]["spans"]]
+    assert spans(1) == [("apache", 0, 4, 0), ("apache", 6, 10, 1), ("apache", 12, 16, 0), ("apache", 25, 29, 0), ("mit", 17, 23, 0)]
+    assert spans(2) == [("apache", 1 + 6 * k, 5 + 6 * k, 0) for k in range(50)]
+    assert spans(3) == [("apache", 0, 4, 2)] and not spans(4) and got[4][0]["labels"] == ""
+    assert spans(5) == [("apache", 2, 6, 2)] and got[5][0]["score"] == 1 - 2 / len(apache)
+
+
 def test_encoding_equals_the_library(docs, sample):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
