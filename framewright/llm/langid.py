@@ -3,8 +3,8 @@
 A document is a bag of words, each drawn from one of its languages. A language
 gives a word the product of its smoothed byte trigram probabilities.
 Expectation maximisation estimates the proportions of the languages in each
-document, first over all languages, then over the one, two or three largest
-alone; the set with the best penalised likelihood is kept. The prediction is
+document, first over all languages, then over the largest one, two and so on
+up to all; the set with the best penalised likelihood is kept. The prediction is
 the language with the largest proportion in that set.
 
 Training counts every labelled row it is given: one sparse count per task and
@@ -29,7 +29,6 @@ from framewright.llm.blobs import pack, pieces, unpack
 
 BINS = 1 << 15
 UNKNOWN = "und"
-LARGEST_SET = 3
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _AS_SPACE = bytes(b if b >= 128 or b in _LETTERS else 32 for b in range(256))
 _ASCII_LETTER = re.compile("[a-zA-Z]")
@@ -126,7 +125,9 @@ def infer(model: np.ndarray, texts: list[str], penalty: float, rounds: int) -> n
     full, _ = mixture(like, head, sizes, np.full((len(head), len(model)), 1 / len(model), np.float32), rounds)
     place = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     best, score = full, np.full(len(head), -np.inf)
-    for n in range(1, min(LARGEST_SET, len(model)) + 1):
+    for n in range(1, len(model) + 1):
+        if (-penalty * (n - 1) * np.log(sizes + 1) <= score).all():
+            break  # no likelihood is above one, so no larger set is better
         share = np.where(place < n, np.maximum(full, 1e-6), 0).astype(np.float32)
         share, fit = mixture(like, head, sizes, share / share.sum(1, keepdims=True), rounds if n > 1 else 0)
         fit = fit - penalty * (n - 1) * np.log(sizes + 1)

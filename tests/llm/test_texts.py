@@ -238,6 +238,18 @@ def test_mixed_text_names_its_languages(spark):
     assert {r["lang_pred"] for r in langid.predict_languages(mixed, *nothing).collect()} == {"und"}
 
 
+def test_mixture_of_all_languages_is_named_whole(spark):
+    parts = {"en": "the cat and the dog were there with this thing ", "fr": "le chat et la souris sont dans une maison avec les autres ", "de": "der hund und die katze waren nicht mehr zwischen den tischen ", "es": "el gato y los perros estaban muy lejos cuando llegaba señor "}
+    parts["fi"] = "kissa ja koira olivat siellä yhdessä tämän talon kanssa "
+    train = table(spark, [(k, t * 20, name) for k, (name, t) in enumerate(parts.items())])
+    languages, model = langid.train_languages(train)
+    mixed = table(spark, [(10 + n, " ".join(t * 10 for t in list(parts.values())[:n]), None) for n in range(1, 6)])
+    for i, rows in by_id(langid.predict_languages(mixed, languages, model)).items():
+        n = i - 10
+        assert sorted(rows[0]["languages"]) == sorted(list(parts)[:n]), n
+        assert abs(rows[0]["score"] - max(rows[0]["proportions"])) < 1e-9 and abs(rows[0]["score"] - 1 / n) < 0.1
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     path = public_tokenizers.path("byte_bpe_50k.json")
