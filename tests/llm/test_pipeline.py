@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, on the smallest tables and on planted rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from framewright.llm import queries
 
@@ -31,6 +33,14 @@ def test_stages_have_their_effect(spark):
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == kept
 
 
+def test_a_table_without_labels_keeps_its_texts(spark):
+    docs = _planted(spark).withColumn("lang", F.lit(None).cast("string"))
+    told = corpus_pipeline.language(spark, docs, SF)
+    want = {r["doc_id"]: r["text"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert {r["doc_id"]: r["text"] for r in told.collect()} == want and len(want) > 100
+    assert told.columns == docs.columns and told.where("lang IS NOT NULL").count() == 0
+
+
 def test_run_equals_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
