@@ -7,7 +7,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framewright.llm import bpe, chat, langid, notices, packing, simhash, suffixes, topk, tree, warc
+from framewright.llm import bpe, bytebpe, chat, langid, notices, packing, resampling, simhash, suffixes, topk, tree, trie, warc
+from framewright.llm.resampling_sql import OP12_SQL
+from framewright.llm.trie_sql import OP11_SQL
 from framewright.session import shared_folder
 
 
@@ -130,8 +132,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("enter", "exit")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytebpe.encode_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_language, op2_repeats, op3_notices, op4_warc, op5_top_k, op6_nearest, op7_packing, op8_bpe, op9_simhash, op10_chat)
+    for q in (
+        op1_language, op2_repeats, op3_notices, op4_warc, op5_top_k, op6_nearest, op7_packing, op8_bpe, op9_simhash, op10_chat,
+        op11_trie, op12_resampling, op13_byte_bpe,
+    )
 }
-ORACLE = {"op4_warc": OP4_SQL, "op5_top_k": OP5_SQL, "op10_chat": OP10_SQL}
+ORACLE = {"op4_warc": OP4_SQL, "op5_top_k": OP5_SQL, "op10_chat": OP10_SQL, "op11_trie": OP11_SQL, "op12_resampling": OP12_SQL}

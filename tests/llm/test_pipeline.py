@@ -50,4 +50,4 @@ def test_run_equals_its_stages(spark):
 
 
 def test_every_query_of_the_list_is_there():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
