@@ -1,15 +1,16 @@
 """Packing of tokenized documents into sequences of a fixed length.
 
 A document's ids, with an end id after them, are cut into full pieces and one
-remainder. Pieces are dealt at random, by a hash of what they are, into groups
+remainder. Pieces are dealt by a hash of what they are into groups
 of about ``group_size``, and each group is packed alone by first-fit
 decreasing: a tournament tree over the bins' free room finds the first bin
 that takes a piece in logarithmic time. Only the pieces' numbers are shuffled,
 never their ids; the number of groups follows the number of pieces.
 
-Tokenizing remembers the ids of space-delimited stretches in a bounded table.
-That is exact where no two white-space characters meet, as the tokenizer's
-words do not cross such a space; other texts go to the library whole.
+Tokenizing remembers the ids of space-delimited stretches in a bounded table,
+those that come first. That is exact where no two white-space characters meet,
+as the tokenizer's words do not cross such a space; other texts, and those
+with control or format characters, go to the library whole.
 
 Nulls and empty texts are one piece that holds the end id. Rows with the same
 id are packed each. An empty table gives no rows.
@@ -18,7 +19,6 @@ id are packed each. An empty table gives no rows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from functools import lru_cache
 
@@ -32,8 +32,12 @@ from framewright.session import materialize
 
 _REMEMBERED = 500_000
 _LONGEST = 200
-#: white space other than single spaces and line ends, or the mark that is put between stretches
-_IRREGULAR = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]|<\\|")
+_SIDE_BY_SIDE = ("  ", "\n\n", " \n", "\n ", "<|")
+
+
+def irregular(text: str) -> bool:
+    """Whether white space meets, a special token may stand, or there are other spaces, line ends or controls."""
+    return any(x in text for x in _SIDE_BY_SIDE) or not text.replace("\n", "").isprintable()
 
 
 class StretchTokenizer:
@@ -61,22 +65,31 @@ class StretchTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
+        stretches: list[str] = []
+        ends: list[int] = []
+        whole: list[str] = []
         for t in texts:
-            cut.append(None if _IRREGULAR.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        new = list({c for stretch in cut if stretch for c in stretch}.difference(self.known))
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known = {"": b""}
-            new = list({c for stretch in cut if stretch for c in stretch}.difference(self.known))
-        known = self.known
+            if irregular(t):
+                whole.append(t)
+                ends.append(-1)
+            else:
+                stretches += t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                ends.append(len(stretches))
+        found = list(map(self.known.get, stretches))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = list({stretches[k] for k in missing})
         words = [c for c in new if c[0] == " " and len(c) > 1]
-        known.update(zip(words, self._words(words)))
-        others = [c for c in new if c not in known]
-        known.update(zip(others, self._fresh(others)))
-        out = [b"".join(map(known.__getitem__, c)) if c is not None else self._fresh([t])[0] for c, t in zip(cut, texts)]
-        for c in new:
-            if len(c) > _LONGEST:
-                del known[c]
+        fresh = dict(zip(words, self._words(words)))
+        others = [c for c in new if c not in fresh]
+        fresh.update(zip(others, self._fresh(others)))
+        for k in missing:
+            found[k] = fresh[stretches[k]]
+        room = _REMEMBERED - len(self.known)
+        self.known.update((c, fresh[c]) for c in new[: max(0, room)] if len(c) <= _LONGEST)
+        out, at, rest = [], 0, iter(self._fresh(whole))
+        for end in ends:
+            out.append(next(rest) if end < 0 else b"".join(found[at:end]))
+            at = at if end < 0 else end
         return out
 
 
