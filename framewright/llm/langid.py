@@ -147,11 +147,15 @@ def predict_languages(
     penalty: float = 3.0,
     rounds: int = 8,
 ) -> DataFrame:
-    """One row a document: the id, the columns in ``keep``, lang_pred, score, and languages and proportions of the chosen set."""
+    """One row a document: the id, the columns in ``keep``, lang_pred, score, and languages and proportions of the chosen set.
+
+    A text that is kept is the one that was read; it is sent once.
+    """
     kept = keep or []
-    source = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("_id"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(kept)])
-    fields = source.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields[1:])
+    place = {c: "_text" if c == text else f"_keep_{i}" for i, c in enumerate(kept)}
+    source = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("_id"), *[F.col(c).alias(p) for c, p in place.items() if c != text])
+    back = 0 if text in place else 1
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[back:])
 
     def predict(batches):
         for batch in pieces(batches, "_text", _PIECE):
@@ -166,13 +170,13 @@ def predict_languages(
                 scores.append(min(1.0, float(row[used[0]])) if known else 0.0)
                 sets.append([languages[k] for k in used] if known else [])
                 shares.append([float(row[k]) for k in used] if known else [])
-            out = batch.columns[1:] + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[1:], "_p", "_s", "_l", "_m"])
+            out = batch.columns[back:] + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[back:], "_p", "_s", "_l", "_m"])
 
     done = source.mapInArrow(predict, f"{schema}, _p string, _s double, _l array<string>, _m array<double>")
     return done.select(
         F.col("_id").alias(doc_id),
-        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(kept)],
+        *[F.col(place[c]).alias(c) for c in kept],
         F.col("_p").alias("lang_pred"),
         F.col("_s").alias("score"),
         F.col("_l").alias("languages"),

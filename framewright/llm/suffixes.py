@@ -47,6 +47,8 @@ _FOLDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x
 _AT_ONCE = 1 << 17
 _PIECE = 16 << 20
 _SHARD_PRIME = 1_000_003
+#: bytes of the stretches that are sorted at once
+_STRIP = 1 << 20
 #: bytes of text for which a bucket and a shard are worth while: every bucket may write a row for every shard
 _BUCKET_BYTES = 8 << 20
 
@@ -296,9 +298,12 @@ def _send_stretches(docs: pa.Table, marks: pa.Table, n: int) -> pa.Table:
     check = np.zeros(len(ids), np.uint32)
     for r in np.unique(row):
         check[r] = zlib.crc32(data[starts[r] : ends[r]])
-    whole, seen, local = data.tobytes(), {}, np.zeros(len(at), bool)
-    order = np.argsort(ids[row], kind="stable")
-    for k, i, f, stop, off in zip(order.tolist(), ids[row][order].tolist(), first[order].tolist(), (last[order] + WINDOW).tolist(), (at - first)[order].tolist()):
+    whole, local = data.tobytes(), np.zeros(len(at), bool)
+    order = np.lexsort((ids[row], h))  # equal stretches have equal hashes: one hash's stretches are held at a time
+    now, seen = None, {}
+    for k, key, i, f, stop, off in zip(order.tolist(), h[order].tolist(), ids[row][order].tolist(), first[order].tolist(), (last[order] + WINDOW).tolist(), (at - first)[order].tolist()):
+        if key != now:
+            now, seen = key, {}
         local[k] = seen.setdefault((whole[f:stop], off), i) < i
     out = []
     count = last - first + 1
@@ -313,26 +318,67 @@ def _send_stretches(docs: pa.Table, marks: pa.Table, n: int) -> pa.Table:
     return pa.table(_rows("bucket", out))
 
 
-def _repeated(key, rows: pa.Table, n: int) -> pa.Table:
-    bodies = rows.column("body").to_pylist()
-    if key[0].as_py() >= n:
-        return pa.table(_rows("shard", [(key[0].as_py() - n, b) for b in bodies]))
-    ids, check, first, count, offset, h, data = unpack_all(bodies)
-    count, offset = count.astype(np.int64), offset.astype(np.int64)
-    begin = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
+def _strips(h: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Places of the stretches in strips of about ``_STRIP`` bytes; those of one hash are in one strip."""
+    order = np.argsort(h, kind="stable")
+    head = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0]) if len(h) else order
+    bytes_of = np.add.reduceat(size[order], head) if len(h) else size
+    strip = (np.cumsum(bytes_of) - bytes_of) // _STRIP
+    cuts = head[np.flatnonzero(np.diff(strip) != 0) + 1] if len(h) else head
+    return [x for x in np.split(order, cuts) if len(x)]
+
+
+def _repeated_in(data: np.ndarray, begin, count, offset, h, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch, first window and number of windows of the runs that a smaller id has too."""
+    size = count + WINDOW - 1
+    shift = np.cumsum(size) - size
+    data = data[np.repeat(begin - shift, size) + np.arange(int(size.sum()))]
     # stretches that are equal throughout are sorted once, under their smallest id
     whole, places = data.tobytes(), {}
-    bounds = zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), offset.tolist())
+    bounds = zip(shift.tolist(), (shift + size).tolist(), offset.tolist())
     kind = np.array([places.setdefault((whole[a:b], o), len(places)) for a, b, o in bounds], np.int64)
-    one = np.full(len(places), -1, np.int64)
+    n = len(places)
+    del whole, places
+    one = np.full(n, -1, np.int64)
     one[kind[::-1]] = np.arange(len(kind))[::-1]
-    least = np.full(len(places), _LAST_ID, np.int64)
+    least = np.full(n, _LAST_ID, np.int64)
     np.minimum.at(least, kind, ids)
-    flags = repeated_windows(data, begin[one], count[one], offset[one], h[one].astype(np.int64), least)[kind]
-    flags |= (ids > least[kind])[:, None] & (np.arange(flags.shape[1]) < count[:, None])
+    own = size[one]
+    new = np.cumsum(own) - own
+    flags = repeated_windows(data[np.repeat(shift[one] - new, own) + np.arange(int(own.sum()))], new, count[one], offset[one], h[one], least)
+    later = ids > least[kind]
     row, at, length = _runs(flags)
+    runs = [(np.zeros(0, np.int64),) * 3]
+    if len(row):
+        # of each stretch that is not the first of its kind all windows are repeated, of the others those found
+        first = np.flatnonzero(~later)
+        lo, hi = np.searchsorted(row, kind[first]), np.searchsorted(row, kind[first], side="right")
+        n_runs = hi - lo
+        pick = np.repeat(lo - (np.cumsum(n_runs) - n_runs), n_runs) + np.arange(int(n_runs.sum()))
+        runs.append((np.repeat(first, n_runs), at[pick], length[pick]))
+    all_ = np.flatnonzero(later)
+    runs.append((all_, np.zeros(len(all_), np.int64), count[all_]))
+    return tuple(np.concatenate(x) for x in zip(*runs))
+
+
+def _repeated(key, rows: pa.Table, n: int) -> pa.Table:
+    """Repeated ranges of a bucket's stretches, a strip of complete groups of hashes at a time."""
+    bodies = rows.column("body").to_pylist()
+    if key[0].as_py() >= n:
+        return pa.table(_rows("shard", [(key[0].as_py() - n, b) for b in bodies]))
+    ids, check, first, count, offset, h, data = unpack_all(bodies)
+    del bodies, rows
+    count, offset, h = count.astype(np.int64), offset.astype(np.int64), h.astype(np.int64)
+    begin = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for x in _strips(h, count + WINDOW - 1):
+        row, at, length = _repeated_in(data, begin[x], count[x], offset[x], h[x], ids[x])
+        found.append((x[row], at, length))
+    row, at, length = (np.concatenate(x) for x in zip(*found))
     ids, check, first = ids[row], check[row], (first[row] + at).astype(np.uint32)
-    return pa.table(_rows("shard", [(s, pack(*x)) for s, *x in split_by(_shard(ids, n), ids, check, first, length.astype(np.uint32))]))
+    out = [(s, pack(*x)) for s, *x in split_by(_shard(ids, n), ids, check, first, length.astype(np.uint32))]
+    pa.default_memory_pool().release_unused()
+    return pa.table(_rows("shard", out))
 
 
 def _without_ranges(docs: pa.Table, ranges: pa.Table, names: list[str]) -> pa.Table:
