@@ -74,20 +74,24 @@ class NoticeSearch:
         found: dict[int, set[tuple[int, int, int]]] = {}
         if not len(self.seeds):
             return {}
-        tried: dict[int, int] = {}
+        tried: dict[int, set[int]] = {}
         intact: dict[int, int] = {}  # where the last span without errors ends
         for last, (size, places) in self.seeds.iter(line):
             for k, at in places:
                 notice, first = self.notices[k][0], last - size + 1
-                start, end = max(0, first - at - self.edits), first - at + len(notice) + self.edits
-                if first < intact.get(k, 0) or tried.get(k) == start:
+                if first < intact.get(k, 0):
                     continue
-                tried[k] = start
-                m = self.patterns[k].search(line, start, min(len(line), end + 1))
-                if m:
-                    found.setdefault(k, set()).add((m.start(), m.end(), sum(m.fuzzy_counts)))
-                    if not sum(m.fuzzy_counts):
-                        intact[k] = max(intact.get(k, 0), m.end())
+                done = tried.setdefault(k, set())
+                # the notice begins at a word's start, as many places off as there may be edits before the seed
+                for start in range(max(0, first - at - self.edits), first - at + self.edits + 1):
+                    if start in done or (start and line[start - 1] != " "):
+                        continue
+                    done.add(start)
+                    m = self.patterns[k].match(line, start, min(len(line), start + len(notice) + self.edits + 1))
+                    if m:
+                        found.setdefault(k, set()).add((m.start(), m.end(), sum(m.fuzzy_counts)))
+                        if not sum(m.fuzzy_counts):
+                            intact[k] = max(intact.get(k, 0), m.end())
         return {k: apart(spans) for k, spans in found.items()}
 
     def find(self, line: str) -> dict[int, tuple[int, int, int]]:

@@ -67,6 +67,12 @@ def test_repeats_against_all_windows(docs, sample):
         assert r["kept_text"] == kept.decode("utf-8", "ignore")
 
 
+def test_small_strips_find_the_same(docs, sample, monkeypatch):
+    want = sorted(map(tuple, suffixes.remove_repeats(docs).drop("kept_text").collect()), key=repr)
+    monkeypatch.setattr(suffixes, "_STRIP", 100)
+    assert sorted(map(tuple, suffixes.remove_repeats(docs).drop("kept_text").collect()), key=repr) == want
+
+
 def test_suffix_order_survives_colliding_hashes(monkeypatch):
     import numpy as np
 
@@ -162,6 +168,39 @@ def test_a_false_seed_does_not_hide_a_notice():
     assert search.find("zz abcd abxd efgh ijkl")[0][2] == 1
 
 
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_found_notices_against_edit_distances():
+    """Lines of damaged notices, characters added in front included, against distances at all runs of words."""
+    notice, state = "mozilla public license", 7
+    search = notices.NoticeSearch(((notice, "x"),), 2)
+    assert search.find("emgzilla public license") == {0: (0, 23, 2)}
+    hits = 0
+    for _ in range(4000):
+        line = notice
+        for _ in range(state // 65536 % 4):
+            state = (state * 1103515245 + 12345) % 2**31
+            at, what = state // 64 % (len(line) + 1), state // 8192 % 3
+            at = at % 3 if state // 131072 % 3 == 0 else at
+            line = line[:at] + "mzx e"[state // 1024 % 5] * (what != 0) + line[at + (what != 1) :]
+        state = (state * 1103515245 + 12345) % 2**31
+        line = " ".join((("ab " if state // 4096 % 2 else "") + line + (" mozilla" if state // 512 % 3 == 0 else "")).split())
+        cuts = [0, *(k + 1 for k, c in enumerate(line) if c == " "), len(line) + 1]
+        runs = [line[a : b - 1] for a in cuts for b in cuts if a < b]
+        least = min((_edit_distance(r, notice) for r in runs if abs(len(r) - len(notice)) <= 2), default=9)
+        found = search.find(line)
+        assert (found[0][2] if found else 9) == (least if least <= 2 else 9), line
+        hits += bool(found)
+    assert 1000 < hits < 4000
+
+
 def test_every_place_of_a_notice_has_a_span(spark):
     apache, mit = notices.NOTICES[0][0], notices.NOTICES[1][0]
     wrong = apache.replace("under", "undr")
@@ -218,6 +257,29 @@ def test_packing_holds_every_id_once(docs, sample):
     assert total / (1024 * len(sequences)) > 0.8
 
 
+def test_first_fit_decreasing_against_a_plain_loop():
+    import numpy as np
+
+    sizes = np.array([1 + (k * 7919 + k * k) % 1024 for k in range(1500)])
+    bins, offsets = packing.first_fit_decreasing(sizes, 1024)
+    held: list[int] = []
+    for item in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        where = next((b for b, used in enumerate(held) if used + sizes[item] <= 1024), len(held))
+        held += [0] * (where == len(held))
+        assert (bins[item], offsets[item]) == (where, held[where])
+        held[where] += int(sizes[item])
+
+
+def test_stretches_are_remembered_up_to_a_bound(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "_REMEMBERED", 5)
+    tokenizer = packing.StretchTokenizer(path)
+    texts = [t or "" for t in ODD] + ["one two three\nfour five six seven\n", "one\ttwo", "seven eight one", "soft\u00adhyphen zero\u200bwidth"]
+    for _ in range(2):
+        want = [b"".join(i.to_bytes(4, "little") for i in tokenizer.library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert tokenizer.encode(texts) == want and len(tokenizer.known) <= 5
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     languages, model = langid.train_languages(docs.where(~langid.held_out()))
