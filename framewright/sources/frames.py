@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from framewright.operators.indexing import dense_index
+from framewright.sources.json_list import read_json_lists
 
 _VECTOR = T.ArrayType(T.DoubleType())
 _MATRIX = T.ArrayType(_VECTOR)
@@ -45,13 +46,13 @@ def scan_frame_infos(
 ) -> DataFrame:
     """Frame records with ``frame_no``, their position over all files.
 
-    A file holds one JSON list, or one record per line (``lines``), which
-    Spark can split. Files count in the order of their paths, records in the
-    order of the file; the row id only has to rise within a split.
+    A file holds one JSON list, or one record per line (``lines``); both are
+    read by byte ranges. Files count in the order of their paths, records in
+    the order of the file; the row id only has to rise within a split.
     """
-    records = (
-        spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(paths)
-    )
+    if not lines:
+        return read_json_lists(spark, paths, schema, "frame_no")
+    records = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     placed = records.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),

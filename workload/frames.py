@@ -12,6 +12,7 @@ from framewright.operators.indexing import dense_index
 from framewright.plans import samples as S
 from framewright.session import shared_folder
 from framewright.sources.frames import scan_frame_infos
+from framewright.sources.json_list import write_json_lists
 from workload.registry import query, rounded, spread_table, sql_rounded as r, table
 
 CAMERAS = ["FRONT", "BACK"]
@@ -327,12 +328,18 @@ def q_frame_count(spark, sf_dir):
 
 @query(
     "frame_fields",
-    f"WITH {INFOS} SELECT {SAMPLE}, {r('epoch_us(ts) / 1e6')} AS timestamp FROM f",
+    f"""WITH {INFOS} SELECT {SAMPLE}, {r('epoch_us(ts) / 1e6')} AS timestamp, event_id::VARCHAR AS sweep,
+        {r('value')} AS ego_x, {r('-value')} AS ego_y, {r('cos(event_id)')} AS q_w, {r('sin(event_id)')} AS q_z,
+        18 AS n_bus FROM f""",
 )
 def q_frame_fields(spark, sf_dir):
     fields = R.frame_fields(event_infos(spark, sf_dir))
-    return fields.withColumn("timestamp", rounded(F.col("timestamp"))).drop(
-        "sweeps", "ego2global_translation", "ego2global_rotation", "can_bus"
+    place, turn = F.col("ego2global_translation"), F.col("ego2global_rotation")
+    return fields.select(
+        "frame_no", "sample_idx", "pts_filename", "prev_idx", "next_idx", "scene_token", "frame_idx",
+        rounded(F.col("timestamp")).alias("timestamp"), F.col("sweeps")[0].alias("sweep"),
+        rounded(place[0]).alias("ego_x"), rounded(place[1]).alias("ego_y"),
+        rounded(turn[0]).alias("q_w"), rounded(turn[3]).alias("q_z"), F.size("can_bus").alias("n_bus"),
     )
 
 
@@ -377,6 +384,12 @@ def q_test_view(spark, sf_dir):
     )
 
 
+def camera_shapes(frames: DataFrame) -> DataFrame:
+    """The images' shapes, height, width and channels, as a reader would record them."""
+    shape = F.struct(F.lit(450).alias("h"), F.lit(800).alias("w"), F.lit(3).alias("c"))
+    return frames.withColumn("img_shape", F.transform("img_filename", lambda _: shape))
+
+
 @query(
     "train_view",
     f"""WITH {INFOS}, l AS (SELECT doc_id AS frame_no, quality <> 0 OR toxic <> -1 AS good FROM labels),
@@ -390,35 +403,64 @@ def q_test_view(spark, sf_dir):
                  coalesce(user_id = lag(user_id) OVER q, false) AS same,
                  value - lag(value) OVER q AS moved
           FROM s WINDOW q AS (PARTITION BY queue_no ORDER BY slot))
-    SELECT queue_no, slot, frame_no, user_id::VARCHAR AS scene_token, same AS prev_bev_exists,
+    SELECT queue_no, slot, w.frame_no, w.user_id::VARCHAR AS scene_token, same AS prev_bev_exists,
            {r('CASE WHEN same THEN moved ELSE 0 END')} AS rel_x,
-           'FRONT/' || event_id || '.jpg' AS front FROM w WHERE kept""",
+           'FRONT/' || w.event_id || '.jpg' AS front, now.event_id::VARCHAR AS sample_idx,
+           'lidar/' || now.event_id || '.bin' AS pts_filename, (now.event_id - 1)::VARCHAR AS prev_idx,
+           (now.event_id + 1)::VARCHAR AS next_idx, (now.event_id % 40)::INT AS frame_idx,
+           {r('epoch_us(now.ts) / 1e6')} AS timestamp, {r('now.value')} AS ego_x, {r('now.value')} AS bus_x,
+           now.event_id::VARCHAR AS sweep, 2 AS n_matrices
+    FROM w JOIN f now ON now.frame_no = w.queue_no WHERE kept""",
 )
 def q_train_view(spark, sf_dir):
     samples = S.training_samples(
-        event_infos(spark, sf_dir), event_annotations(spark, sf_dir), CAMERAS, length=3, seed=7
+        event_infos(spark, sf_dir), event_annotations(spark, sf_dir), CAMERAS, length=3, seed=7,
+        stages=[camera_shapes],
     )
-    slots = samples.select("queue_no", "img", F.explode_outer("img_metas").alias("slot", "m"))
+    slots = samples.select("*", F.explode_outer("img_metas").alias("slot", "m"))
     return slots.select(
         "queue_no", "slot", "m.frame_no", "m.scene_token", "m.prev_bev_exists",
         rounded(F.get("m.relative", F.lit(0))).alias("rel_x"),
         F.col("img")[F.col("slot")][0].alias("front"),
+        "sample_idx", "pts_filename", "prev_idx", "next_idx", "frame_idx",
+        rounded(F.col("timestamp")).alias("timestamp"),
+        rounded(F.col("ego2global_translation")[0]).alias("ego_x"),
+        rounded(F.col("can_bus")[0]).alias("bus_x"),
+        F.col("sweeps")[0].alias("sweep"),
+        F.size("lidar2img").alias("n_matrices"),
     )
 
 
-@query(
-    "scan_frame_infos",
-    f"""WITH {INFOS} SELECT f.frame_no, f.event_id::VARCHAR AS token, f.user_id::VARCHAR AS scene_token,
-    epoch_us(ts) AS timestamp, {r('value')} AS x, 'BACK/' || event_id || '.jpg' AS back FROM f""",
-)
-def q_scan_frame_infos(spark, sf_dir):
-    """Frame records written as JSON lines in order, and numbered again."""
-    path = f"{shared_folder(spark)}/framewright/frames-{uuid.uuid4().hex}"
+SCANNED = f"""WITH {INFOS} SELECT f.frame_no, f.event_id::VARCHAR AS token, f.user_id::VARCHAR AS scene_token,
+    epoch_us(ts) AS timestamp, {r('value')} AS x, 'BACK/' || event_id || '.jpg' AS back FROM f"""
+
+
+def _in_order(spark, sf_dir, files: int | None = None) -> DataFrame:
     infos = event_infos(spark, sf_dir)
-    infos.repartitionByRange("frame_no").sortWithinPartitions("frame_no").drop("frame_no").write.json(path)
-    frames = scan_frame_infos(spark, path, lines=True)
+    dealt = infos.repartitionByRange(files, "frame_no") if files else infos.repartitionByRange("frame_no")
+    return dealt.sortWithinPartitions("frame_no").drop("frame_no")
+
+
+def _scanned(frames: DataFrame) -> DataFrame:
     return frames.select(
         "frame_no", "token", "scene_token", "timestamp",
         rounded(F.col("ego2global_translation")[0]).alias("x"),
         F.col("cams")["BACK"]["data_path"].alias("back"),
     )
+
+
+@query("scan_frame_infos", SCANNED)
+def q_scan_frame_infos(spark, sf_dir):
+    """Frame records written as JSON lines in order, and numbered again."""
+    path = f"{shared_folder(spark)}/framewright/frames-{uuid.uuid4().hex}"
+    _in_order(spark, sf_dir).write.json(path)
+    return _scanned(scan_frame_infos(spark, path, lines=True))
+
+
+@query("scan_frame_lists", SCANNED)
+def q_scan_frame_lists(spark, sf_dir):
+    """The same records as a few large JSON lists, each read by byte ranges."""
+    path = f"{shared_folder(spark)}/framewright/lists-{uuid.uuid4().hex}"
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    write_json_lists(_in_order(spark, sf_dir, files), path)
+    return _scanned(scan_frame_infos(spark, path))
