@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framewright.functions.binding import let
 from framewright.functions.draws import clamp_index, seeded_draw
-from framewright.operators.indexing import dense_index
+from framewright.session import materialize
 
 BLOCK_ROWS = 512
 DRAWS_PER_COPY = 1000
+WORD_BITS = 62  # queue numbers in one word of a bitmap
+WORDS_PER_BLOCK = 4096
 
 
 def history_window(
@@ -143,58 +145,98 @@ def has_ground_truth(labels: str | Column, ignore: int = -1) -> Column:
     return F.coalesce(F.exists(labels, lambda x: x != ignore), F.lit(False))
 
 
-def queue_accepted(labels: str = "gt_labels", ignore: int = -1) -> Column:
-    """True if every member exists and has a usable label."""
-    return F.forall(
-        "members",
-        lambda m: m["frame"].isNotNull() & has_ground_truth(m["frame"][labels], ignore),
-    )
+def label_flag(frames: DataFrame, labels: str | Column, name: str = "has_gt") -> DataFrame:
+    """Add one bit a frame, ``name``: whether it has a usable label.
+
+    A frame is a member of several queues; the bit goes into their windows
+    in place of the labels, which are looked at once.
+    """
+    return frames.withColumn(name, has_ground_truth(labels))
+
+
+def queue_accepted(labels: str = "gt_labels", ignore: int = -1, flag: str | None = None) -> Column:
+    """True if every member exists and has a usable label, or the ``flag`` that says so."""
 
+    def usable(frame: Column) -> Column:
+        return F.coalesce(frame[flag], F.lit(False)) if flag else has_ground_truth(frame[labels], ignore)
 
-def filter_empty_queues(queues: DataFrame, labels: str = "gt_labels", enabled: bool = True) -> DataFrame:
+    return F.forall("members", lambda m: m["frame"].isNotNull() & usable(m["frame"]))
+
+
+def filter_empty_queues(
+    queues: DataFrame, labels: str = "gt_labels", enabled: bool = True, flag: str | None = None
+) -> DataFrame:
     """Reject a whole queue if a member is missing or, if enabled, unlabelled."""
     if not enabled:
         return queues.where(F.forall("members", lambda m: m["frame"].isNotNull()))
-    return queues.where(queue_accepted(labels))
+    return queues.where(queue_accepted(labels, flag=flag))
 
 
-def replace_rejected(
-    queues: DataFrame, seed: int, labels: str = "gt_labels", partitions: int | None = None
-) -> DataFrame:
+def rank_words(numbers: DataFrame, name: str = "queue_no") -> DataFrame:
+    """A bitmap of distinct numbers from 0 that can be searched by rank.
+
+    One row a word: ``_word``, its ``_bits``, how many are set, and ``_start``,
+    how many numbers the words before it hold. Words are counted inside blocks
+    of ``WORDS_PER_BLOCK``, and only the blocks' sums meet a global window.
+    """
+    number = F.col(name)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (number % WORD_BITS).cast("int"))
+    words = numbers.groupBy(F.floor(number / WORD_BITS).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    words = words.select("*", F.bit_count("_bits").cast("long").alias("_n"), F.floor(F.col("_word") / WORDS_PER_BLOCK).alias("_block"))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_n").over(before(W.partitionBy("_block").orderBy("_word"))), F.lit(0))
+    blocks = words.groupBy("_block").agg(F.sum("_n").alias("_sum"))
+    # one row for WORD_BITS * WORDS_PER_BLOCK numbers
+    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(before(W.orderBy("_block"))), F.lit(0)).alias("_before"))
+    return words.withColumn("_inside", inside).join(F.broadcast(blocks), "_block").select(
+        "_word", "_bits", "_n", (F.col("_before") + F.col("_inside")).alias("_start")
+    )
+
+
+def select_ranked(words: DataFrame, drawn: DataFrame, copies: int = 1, name: str = "queue_no") -> DataFrame:
+    """``drawn`` with the number at place ``_rank``, from 0, of the bitmap.
+
+    A word holds at most ``WORD_BITS`` ranks, so it meets the ranks of two
+    buckets of that many, and a bucket meets few words: one equi-join. Words
+    are copied ``copies`` times, and ``drawn`` says by ``_copy`` which it takes.
+    """
+    first, last = F.col("_start"), F.col("_start") + F.col("_n") - 1
+    buckets = F.sequence(F.floor(first / WORD_BITS), F.floor(last / WORD_BITS))
+    spread = words.withColumn("_bucket", F.explode(buckets)).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    met = drawn.withColumn("_bucket", F.floor(F.col("_rank") / WORD_BITS)).join(spread, ["_bucket", "_copy"])
+    met = met.where(F.col("_rank").between(first, last))
+    places = F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda k: F.call_function("getbit", F.col("_bits"), k) == 1)
+    place = F.get(places, (F.col("_rank") - first).cast("int"))
+    return met.withColumn(name, F.col("_word") * WORD_BITS + place).drop("_bucket", "_word", "_bits", "_n", "_start", "_rank")
+
+
+def replace_rejected(queues: DataFrame, seed: int, labels: str = "gt_labels", flag: str | None = None) -> DataFrame:
     """Give every rejected queue number the content of a drawn accepted one.
 
-    Sorting the accepted queues first makes their position their rank. Only
-    queue numbers are indexed; content is fetched once the donors are drawn.
-    Each donor is copied often enough that about ``DRAWS_PER_COPY`` rejected
-    queues meet one copy, so few donors for many queues make no hot key, and
-    the copies stay below the number of all queues. Without any accepted queue
-    it is an error, as the number of queues could not stay the same.
+    The queues are built and stored once. The accepted numbers become a bitmap
+    with counts, in which a drawn rank finds its donor; the donors' contents
+    are then joined. Each donor is copied often enough that about
+    ``DRAWS_PER_COPY`` rejected queues meet one copy, so few donors for many
+    queues make no hot key, and the copies stay below the number of all queues.
+    Without any accepted queue it is an error, as the number of queues could
+    not stay the same.
     """
     content = [c for c in queues.columns if c != "queue_no"]
-    accepted = queue_accepted(labels)
-    ranked = dense_index(
-        queues.select("queue_no", (~accepted).alias("_bad")),
-        ["_bad", "queue_no"],
-        name="_rank",
-        partitions=partitions,
-    )
-    counts = {r["_bad"]: r["count"] for r in ranked.groupBy("_bad").count().collect()}  # two rows
-    total, rejected = counts.get(False, 0), counts.get(True, 0)
-    as_is = queues.where(accepted).select("queue_no", F.col("queue_no").alias("source_queue_no"), *content)
+    stored = materialize(queues.withColumn("_good", queue_accepted(labels, flag=flag)), "queues")
+    total, rejected = stored.agg(F.count_if(F.col("_good")), F.count_if(~F.col("_good"))).first()
+    source = F.col("queue_no").alias("source_queue_no")
+    as_is = stored.where("_good").select("queue_no", source, *content)
     if not rejected:
         return as_is
     if not total:
         raise ValueError("no queue is accepted, so none can replace the rejected ones")
     n_copies = -(-rejected // (total * DRAWS_PER_COPY))
+    copy = F.pmod(F.xxhash64("queue_no"), F.lit(n_copies)).cast("int")
+    drawn = stored.where(~F.col("_good")).select("queue_no", seeded_draw(F.col("queue_no"), seed, total).alias("_rank"), copy.alias("_copy"))
+    donors = select_ranked(rank_words(stored.where("_good").select("queue_no")), drawn, n_copies, "source_queue_no")
     copies = F.explode(F.sequence(F.lit(0), F.lit(n_copies - 1))).alias("_copy")
-    drawn = ranked.where("_bad").select(
-        "queue_no",
-        seeded_draw(F.col("queue_no"), seed, total).alias("_rank"),
-        F.pmod(F.xxhash64("queue_no"), F.lit(n_copies)).cast("int").alias("_copy"),
-    )
-    donors = ranked.where(~F.col("_bad")).select("_rank", F.col("queue_no").alias("source_queue_no"), copies)
-    contents = queues.where(accepted).select(F.col("queue_no").alias("source_queue_no"), *content, copies)
-    replaced = drawn.join(donors, ["_rank", "_copy"]).join(contents, ["source_queue_no", "_copy"])
+    contents = stored.where("_good").select(source, *content, copies)
+    replaced = donors.join(contents, ["source_queue_no", "_copy"])
     return as_is.unionByName(replaced.select("queue_no", "source_queue_no", *content))
 
 

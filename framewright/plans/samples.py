@@ -43,29 +43,31 @@ def training_samples(
     replace: bool = False,
     stages: Sequence[Stage] = (),
     image: str = "img_filename",
+    shape: str = "img_shape",
 ) -> DataFrame:
     """One sample per frame: its queue's images and metas, poses relative.
 
     Every frame is prepared once, before it is placed in the queues. Images
     stay references, so the queue shuffle moves names, not pixels.
     ``filter_empty`` drops queues with an unlabelled frame; ``replace``
-    instead fills their places with drawn accepted ones.
+    instead fills their places with drawn accepted ones. The sample keeps the
+    other fields of its current frame. The stages must have added ``shape``,
+    the shapes of the frame's images, which must agree within a queue.
     """
     frames = frame_view(infos, cameras, annotations=annotations)
     for stage in stages:
         frames = frames.transform(stage)
-    frames = frames.withColumn("_labels", F.col(f"ann_info.{labels}"))
-    if "img_shape" not in frames.columns:
-        frames = frames.withColumn("img_shape", F.size(image))
-    columns = ["sample_idx", "scene_token", "lidar2img", "can_bus", "_labels", "img_shape", image]
-    queues = Q.build_queues(frames.select("frame_no", "ann_info", *columns), length, columns, seed)
+    if shape not in frames.columns:
+        raise ValueError(f"the frames have no {shape}: add a stage that records the images' shapes")
+    frames = Q.label_flag(frames, F.col(f"ann_info.{labels}"), "_has_gt")
+    columns = ["sample_idx", "scene_token", "lidar2img", "can_bus", "_has_gt", shape, image]
+    queues = Q.build_queues(frames, length, columns, seed)
     if replace:
-        queues = Q.replace_rejected(queues, seed, "_labels")
+        queues = Q.replace_rejected(queues, seed, flag="_has_gt")
     else:
-        queues = Q.filter_empty_queues(queues, "_labels", filter_empty)
-    queues = queues.drop(*columns)
+        queues = Q.filter_empty_queues(queues, enabled=filter_empty, flag="_has_gt")
     queues = Q.relative_pose(Q.scene_start_flag(queues))
-    return Q.merge_queue(queues, META_FIELDS, image)
+    return Q.merge_queue(queues, META_FIELDS, image, shape).drop("_has_gt")
 
 
 def train_or_test_view(

@@ -138,11 +138,19 @@ def test_views(spark, infos):
     test = S.train_or_test_view(infos, cameras, test_mode=True)
     assert "ann_info" not in test.columns and test.count() == 5
     assert test.where("frame_no = 4").first().timestamp == pytest.approx(1.500004)
-    train = S.train_or_test_view(infos, cameras, False, notes, length=2, seed=1)
+    shapes = [lambda df: df.withColumn("img_shape", F.lit("450x800"))]
+    with pytest.raises(ValueError, match="img_shape"):
+        S.train_or_test_view(infos, cameras, False, notes, length=2, seed=1)
+    train = S.train_or_test_view(infos, cameras, False, notes, length=2, seed=1, stages=shapes)
     kept = {r.queue_no: r for r in train.collect()}
     assert set(kept) <= {0, 2, 3, 4} and {0, 4} <= set(kept)
     assert kept[4].img[-1] == ["f4", "b4"] and len(kept[4].img_metas) == 2
-    full = S.train_or_test_view(infos, cameras, False, notes, length=2, seed=1, replace=True)
+    assert kept[4].pts_filename == "l4" and kept[4].prev_idx == "t3" and kept[4].timestamp == pytest.approx(1.500004)
+    assert kept[4].sweeps == [] and kept[4].ego2global_translation == [4.0, 2.0, 3.0] and kept[4].can_bus[0] == 4.0
+    by_frame = [lambda df: df.withColumn("img_shape", F.col("frame_no"))]
+    with pytest.raises(PySparkException, match="differ in shape"):
+        S.train_or_test_view(infos, cameras, False, notes, length=2, seed=1, stages=by_frame).collect()
+    full = S.train_or_test_view(infos, cameras, False, notes, length=2, seed=1, replace=True, stages=shapes)
     assert sorted(r.queue_no for r in full.collect()) == [0, 1, 2, 3, 4]
     assert "cams" not in S.frame_view(infos, cameras, use_camera=False).columns
     with pytest.raises(ValueError):

@@ -141,3 +141,27 @@ def test_dense_index_with_a_hot_scene(spark, partitions):
     wanted = sorted((r.scene, r.ts, r.id) for r in rows.collect())
     assert [(r.scene, r.ts, r.id) for r in sorted(got, key=lambda r: r.frame_no)] == wanted
     assert sorted(r.frame_no for r in got) == list(range(5000))
+
+
+@pytest.mark.parametrize("copies, step", [(1, 1), (3, 1), (1, 157), (2, 61)])
+def test_ranks_find_their_numbers(spark, monkeypatch, copies, step):
+    monkeypatch.setattr(Q, "WORDS_PER_BLOCK", 4)
+    numbers = [k * step for k in range(700) if k * k % 7 != 2] + [62 * 5000 + 61]
+    words = Q.rank_words(spark.createDataFrame([(n,) for n in numbers], "queue_no long"))
+    assert words.agg(F.sum("_n")).first()[0] == len(numbers)
+    ranks = [(k, k * 31 % len(numbers), k % copies) for k in range(2 * len(numbers))]
+    drawn = spark.createDataFrame(ranks, "id long, _rank long, _copy int")
+    got = {r["id"]: r["queue_no"] for r in Q.select_ranked(words, drawn, copies).collect()}
+    assert got == {k: numbers[rank] for k, rank, _ in ranks}
+
+
+def test_a_flag_rejects_what_its_labels_reject(frames):
+    by_labels = Q.filter_empty_queues(oldest_dropped(frames)).select("queue_no").collect()
+    flagged = Q.build_queues(Q.label_flag(frames, "gt_labels"), 3, ["has_gt"], 42, draw=F.lit(0))
+    assert sorted(Q.filter_empty_queues(flagged, flag="has_gt").select("queue_no").collect()) == sorted(by_labels)
+
+
+def test_replacement_plans_the_window_once(frames):
+    """What comes back is read from the stored queues: no history is gathered again."""
+    plan = Q.replace_rejected(oldest_dropped(frames), seed=3)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FileScan" in plan

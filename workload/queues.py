@@ -39,6 +39,11 @@ def _queues(spark, sf_dir, columns, own=()):
     return Q.build_queues(frames, LENGTH, columns, SEED).select("queue_no", *own, "members")
 
 
+def _flagged_queues(spark, sf_dir):
+    frames = Q.label_flag(event_frames(spark, sf_dir), "gt_labels").select("frame_no", "has_gt")
+    return Q.build_queues(frames, LENGTH, ["has_gt"], SEED).select("queue_no", "members")
+
+
 FRAMES = """
 f AS (SELECT row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS frame_no,
              event_id, user_id AS scene_token, value AS x, 2 * value AS y, -value AS z,
@@ -125,7 +130,7 @@ def q_has_ground_truth(spark, sf_dir):
     f"WITH {GOOD} SELECT queue_no, slot, s.frame_no FROM s JOIN ok USING (queue_no) WHERE good",
 )
 def q_filter_empty_queues(spark, sf_dir):
-    kept = Q.filter_empty_queues(_queues(spark, sf_dir, ["gt_labels"]))
+    kept = Q.filter_empty_queues(_flagged_queues(spark, sf_dir), flag="has_gt")
     return Q.queue_rows(kept).select("queue_no", "slot", "frame_no")
 
 
@@ -144,7 +149,7 @@ def q_filter_empty_queues(spark, sf_dir):
     FROM pick JOIN s ON s.queue_no = source_queue_no""",
 )
 def q_replace_rejected(spark, sf_dir):
-    full = Q.replace_rejected(_queues(spark, sf_dir, ["gt_labels"]), SEED)
+    full = Q.replace_rejected(_flagged_queues(spark, sf_dir), SEED, flag="has_gt")
     return full.select("queue_no", "source_queue_no", F.explode_outer("members").alias("m")).select(
         "queue_no", "source_queue_no", "m.slot", "m.frame_no"
     )
