@@ -291,29 +291,30 @@ def pad_images(images: DataFrame, size_divisor: int = SIZE_DIVISOR, fill: float
 # -- comparison -------------------------------------------------------------
 
 
+def _root_mean_square(a: str, b: str, size_a: Column, size_b: Column, keys: Sequence[str]) -> Column:
+    squares = F.aggregate(
+        F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, x: acc + x
+    )
+    same = F.coalesce(size_a == size_b, F.lit(False))
+    return F.when(same, F.sqrt(squares / F.size(a))).otherwise(
+        F.raise_error(
+            F.concat(F.lit("images differ in size or lack a partner: "), F.concat_ws(", ", *keys))
+        )
+    )
+
+
 def image_rmse(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Root of the mean squared difference of two images over all elements.
 
-    An image without a partner, or of another size, fails the job.
+    An image without a partner, or of another size, fails the job. The tables
+    are independent, so their images meet in a join; two ways to compute the
+    same table are compared by ``compare_implementations`` without one.
     """
     keys = list(keys)
     a = left.select(*keys, F.struct(*SIZE).alias("_size_a"), F.col("pixels").alias("_a"))
     b = right.select(*keys, F.struct(*SIZE).alias("_size_b"), F.col("pixels").alias("_b"))
     both = a.join(b, keys, "full")
-    squares = F.aggregate(
-        F.zip_with("_a", "_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, x: acc + x
-    )
-    same = F.coalesce(F.col("_size_a") == F.col("_size_b"), F.lit(False))
-    return both.select(
-        *keys,
-        F.when(same, F.sqrt(squares / F.size("_a")))
-        .otherwise(
-            F.raise_error(
-                F.concat(F.lit("images differ in size or lack a partner: "), F.concat_ws(", ", *keys))
-            )
-        )
-        .alias("rmse"),
-    )
+    return both.select(*keys, _root_mean_square("_a", "_b", F.col("_size_a"), F.col("_size_b"), keys).alias("rmse"))
 
 
 def compare_implementations(
@@ -323,13 +324,33 @@ def compare_implementations(
 ) -> DataFrame:
     """RMSE per view between two implementations of each step.
 
-    ``implementations`` maps a step name to two functions on the image table.
+    ``implementations`` maps a step name to two functions on the image table,
+    which change its image columns and keep the others. Both run on the same
+    row, one after the other, so no pixels are shuffled. Functions that lose
+    columns, because they make new rows, are compared by a join instead.
     """
-    tables = [
-        image_rmse(first(images), second(images), keys).select(F.lit(step).alias("step"), *keys, "rmse")
-        for step, (first, second) in implementations.items()
-    ]
-    whole = tables[0]
-    for table in tables[1:]:
-        whole = whole.unionByName(table)
+    whole = None
+    for step, (first, second) in implementations.items():
+        found = _beside(images, first, second, keys)
+        found = image_rmse(first(images), second(images), keys) if found is None else found
+        found = found.select(F.lit(step).alias("step"), *keys, "rmse")
+        whole = found if whole is None else whole.unionByName(found)
+    if whole is None:
+        raise ValueError("nothing to compare")
     return whole
+
+
+def _beside(images: DataFrame, first, second, keys: Sequence[str]) -> DataFrame | None:
+    columns = [*SIZE, "pixels"]
+    one = first(images.select(*keys, *columns, F.struct(*columns).alias("_source")))
+    if "_source" not in one.columns:
+        return None
+    again = one.select(*keys, F.struct(*columns).alias("_one"), *[F.col(f"_source.{c}").alias(c) for c in columns])
+    two = second(again)
+    if "_one" not in two.columns:
+        return None
+    sides = two.select(
+        *keys, F.struct(*[F.col(f"_one.{c}") for c in SIZE]).alias("_size_a"), F.struct(*SIZE).alias("_size_b"),
+        F.col("_one.pixels").alias("_a"), F.col("pixels").alias("_b"),
+    )
+    return sides.select(*keys, _root_mean_square("_a", "_b", F.col("_size_a"), F.col("_size_b"), keys).alias("rmse"))

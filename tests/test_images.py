@@ -187,3 +187,18 @@ def test_load_views(spark):
     stage[0]["images"] = images.where("path = 'a'")
     with pytest.raises(PySparkException, match="not found: b"):
         run_stages(samples, stage).collect()
+
+
+def test_implementations_are_compared_without_a_shuffle(spark):
+    rows = [(k, 4, 6, 1, [float((k * 7 + j * j) % 256) for j in range(24)]) for k in range(9)]
+    images = spark.createDataFrame(rows, "image_id int, height int, width int, channels int, pixels array<double>")
+    half = {e: (lambda df, e=e: I.resample_images(df, 3, 2, "bilinear", engine=e)) for e in ("sql", "arrow")}
+    got = I.compare_implementations(images, {"resize": (half["sql"], half["arrow"]), "same": (half["sql"], half["sql"])})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    found = got.collect()
+    assert len(found) == 18 and all(r["rmse"] < 1e-9 for r in found)
+    moved = I.compare_implementations(images, {"shift": (lambda df: df, lambda df: df.withColumn("pixels", F.transform("pixels", lambda v: v + 3)))})
+    assert {round(r["rmse"], 9) for r in moved.collect()} == {3.0}
+    with pytest.raises(Exception, match="differ in size"):
+        I.compare_implementations(images, {"sizes": (half["sql"], lambda df: df)}).collect()
