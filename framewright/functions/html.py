@@ -81,6 +81,30 @@ def strip(text: Column) -> Column:
     return F.when(tight, text).otherwise(F.btrim(text, F.lit(WHITE_SPACE)))
 
 
+# Character references that need no table, and what they stand for; the last one
+# comes last, so that what it makes is not decoded again
+NO_BREAK_SPACE = ("&nbsp;", "\xa0")  # makes no markup, so it may be decoded before the tags are read
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
+_OTHER_REFERENCE = rf"&(?!(?:{'|'.join(r[1:-1] for r in REFERENCES)});)"
+
+
+def decode_spaces(text: Column) -> Column:
+    return F.replace(text, F.lit(NO_BREAK_SPACE[0]), F.lit(NO_BREAK_SPACE[1]))
+
+
+def has_other_references(text: Column) -> Column:
+    """Whether there is an ampersand that does not begin one of ``REFERENCES``."""
+    return text.contains("&") & text.rlike(_OTHER_REFERENCE)
+
+
+def decode_common(text: Column) -> Column:
+    """Decode ``REFERENCES`` and strip what they turn into; exact if there are no others."""
+    decoded = text
+    for reference, meaning in REFERENCES.items():
+        decoded = F.replace(decoded, F.lit(reference), F.lit(meaning))
+    return F.when(text.contains("&"), strip(decoded)).otherwise(text)
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _decode_cells(cells: pa.Array) -> pa.Array:
     texts = [None if t is None else unescape(t).strip() for t in cells.flatten().to_pylist()]

@@ -134,7 +134,7 @@ class _CellReader(HTMLParser):
 
     def cells(self) -> list[list[str]]:
         text = "".join(self.texts)
-        return [[text[slice(*cell)].strip() for cell in row] for _, row in self.rows]
+        return [[text[slice(*cell)].replace("\0", "").strip() for cell in row] for _, row in self.rows]
 
     def handle_starttag(self, tag, attrs):
         if tag in self.VOID:
@@ -241,13 +241,29 @@ def filter_layer_contains(rows: DataFrame, literal: str) -> DataFrame:
     return rows.where(layer_name().contains(literal))
 
 
+_NAME_PARTS = ("prefix", "layer", "suffix", "rest")
+_APART = "\0"  # cut out of every cell, so no name holds it
+
+
+def _name_parts(pattern: str) -> Column:
+    """Prefix, layer, suffix and rest of the first cell after an empty text, from one run of the pattern; else one text."""
+    whole = rf"{_DIALECT}{pattern}(?s:.*)\z"
+    return F.split(F.regexp_replace(layer_name(), whole, "".join(f"{_APART}${k}" for k in range(1, 5))), _APART)
+
+
+def _with_name_parts(rows: DataFrame, pattern: str) -> DataFrame:
+    # a generator's output is computed once, whatever is then taken from it
+    return rows.select("*", F.explode(F.array(_name_parts(pattern))).alias("_parts"))
+
+
+def _part(k: int) -> Column:
+    return F.get("_parts", F.lit(k + 1))
+
+
 def parse_layer_name(rows: DataFrame, pattern: str = LAYER_PATTERN) -> DataFrame:
-    """Add ``prefix``, ``layer``, ``suffix`` and ``rest`` of the first cell."""
-    parts = {"prefix": 1, "layer": 2, "suffix": 3, "rest": 4}
-    return rows.select(
-        "*",
-        *[F.regexp_extract(layer_name(), _DIALECT + pattern, g).alias(n) for n, g in parts.items()],
-    )
+    """Add ``prefix``, ``layer``, ``suffix`` and ``rest`` of the first cell, empty if it is no layer name."""
+    parts = [F.when(layer_name().isNotNull(), F.coalesce(_part(k), F.lit(""))).alias(n) for k, n in enumerate(_NAME_PARTS)]
+    return _with_name_parts(rows, pattern).select(*[F.col(f"`{c}`") for c in rows.columns], *parts)
 
 
 def common_layer_name() -> Column:
@@ -294,8 +310,10 @@ def layer_rows(
     unescape: bool = True,
 ) -> DataFrame:
     """Rows with a layer name, parsed, with their three metrics."""
-    rows = filter_layer_rows(filter_nonempty_rows(table_cells(docs, keys, tolerant, unescape)))
-    return parse_layer_name(rows).select(
+    rows = _with_name_parts(filter_nonempty_rows(table_cells(docs, keys, tolerant, unescape)), LAYER_PATTERN)
+    return rows.where(F.size("_parts") == 1 + len(_NAME_PARTS)).select(
+        "*", *[_part(k).alias(n) for k, n in enumerate(_NAME_PARTS)]
+    ).select(
         *keys,
         "row_no",
         "layer",
@@ -315,20 +333,26 @@ def table_cells(
 ) -> DataFrame:
     """Keys, ``row_no`` and ``cells`` of every table row, in one step.
 
-    The cells are cut inside the generator, so later filters on them do not
-    make Catalyst repeat the work. Only documents with nested or unclosed tags
-    are read by the tag stack; ``tolerant`` reads all of them that way.
+    The cells are cut and decoded inside the generator, so later filters on
+    them do not make Catalyst repeat the work. Only documents with nested or
+    unclosed tags, or with uncommon character references, are read by the tag
+    stack; ``tolerant`` reads all of them that way. Those that it reads are
+    always decoded.
     """
     if tolerant:
         return extract_cells_tolerant(docs, keys, "html", row_tag, cell_tag)
     plain = H.plain_markup(F.col("html"), row_tag, cell_tag)
+    plain = H.decode_spaces(plain) if unescape else plain
     docs = docs.select(*keys, F.col("html").alias("_html"), plain.alias("_plain"))
-    odd = F.when(~H.well_formed(F.col("_plain"), row_tag, cell_tag), F.col("_html"))
-    docs = docs.select(*keys, "_plain", _row_cells_of_documents(row_tag, cell_tag)(odd).alias("_nested"))
+    odd = ~H.well_formed(F.col("_plain"), row_tag, cell_tag)
+    if unescape:
+        odd = odd | H.has_other_references(F.col("_plain"))
+    read = _row_cells_of_documents(row_tag, cell_tag)(F.when(odd, F.col("_html")))
+    docs = docs.select(*keys, "_plain", read.alias("_nested"))
     bodies = H.element_bodies(F.col("_plain"), row_tag)
-    cells = F.coalesce("_nested", F.transform(bodies, lambda row: H.cell_texts(row, cell_tag)))
-    rows = docs.select(*keys, F.col("_nested").isNotNull().alias("_done"), F.posexplode(cells).alias("row_no", "cells"))
-    return (decode_cells(rows) if unescape else rows).drop("_done")
+    done = H.decode_common if unescape else lambda cell: cell
+    cells = F.transform(bodies, lambda row: F.transform(H.cell_texts(row, cell_tag), done))
+    return docs.select(*keys, F.posexplode(F.coalesce("_nested", cells)).alias("row_no", "cells"))
 
 
 def layer_wide_report(

@@ -1,3 +1,6 @@
+import re
+from html import unescape
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -204,3 +207,25 @@ def test_row_operators_run_on_a_stream(spark, tmp_path, docs):
         assert spark.table("long_report").count() == 4
     finally:
         query.stop()
+
+
+def test_references_decoded_without_python_equal_the_parser(spark):
+    """Common references by expressions, others by the tag stack: the same cells."""
+    cells = ["&amp;lt; x", "a&nbsp;&nbsp;", "&nbsp;b &amp; c&nbsp;", "&lt;td&gt;", "&quot;q&quot; &#39;r&apos;", "&amp;amp;", "&amp;nbsp;", "R&D", "&eacute; &#233; &lt;", "& ", "x &ampy", "plain"]
+    rows = [(k, f"<table><tr><td>{c}</td><td>{cells[k - 1]}</td></tr></table>") for k, c in enumerate(cells)]
+    docs = spark.createDataFrame(rows, "path long, html string")
+    got = sorted(map(tuple, R.table_cells(docs).collect()))
+    assert got == sorted(map(tuple, R.table_cells(docs, tolerant=True).collect()))
+    assert got == sorted((k, 0, [unescape(c).strip(), unescape(cells[k - 1]).strip()]) for k, c in enumerate(cells))
+
+
+def test_names_parse_by_one_pattern_run(spark):
+    names = ["a_layers_2_b_layers_3_attentions_0.v", "x_layers_1_attentions_0", "_layers_٣_attentions_0q", "n_layers_1_attentions_0.a\nrest", "n\n_layers_1_attentions_0", "", "no", "_layers_1_attentions_0\r.b"]
+    rows = spark.createDataFrame([(k, [n]) for k, n in enumerate(names)] + [(90, [])], "id long, cells array<string>")
+    got = {r["id"]: (r["prefix"], r["layer"], r["suffix"], r["rest"]) for r in R.parse_layer_name(rows).collect()}
+    for k, name in enumerate(names):
+        m = re.match(r"^(.*_layers_)(\d+)(_attentions_0)(.*)", name)
+        assert got[k] == (m.groups() if m else ("", "", "", "")), name
+    assert got[90] == (None, None, None, None)
+    plan = R.parse_layer_name(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "regexp_extract" not in plan

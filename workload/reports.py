@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.operators import reports as R
 from framewright.session import materialize, shared_folder
-from framewright.sources.reports import reports_from_table, write_report
-from workload.registry import query, spread_table
+from framewright.sources.reports import reports_from_table, scan_html_reports, write_report
+from workload.registry import query, spread_table, table
 
 LAYERS = R.LAYERS
 PARTS = ("Name", *R.METRIC_CELLS)
@@ -111,14 +111,22 @@ def _wide_sql(group: str, keys: str, order: str) -> str:
 
 
 @query(
-    "scan_html_reports",
+    "reports_from_table",
     "SELECT page_id AS path, length(html)::INT AS n_chars, md5(html) AS digest FROM pages",
 )
-def q_scan_html_reports(spark, sf_dir):
+def q_reports_from_table(spark, sf_dir):
     docs = reports_from_table(spread_table(spark, sf_dir, "pages"), "page_id", "html")
     return docs.select("path", F.length("html").alias("n_chars"), F.md5("html").alias("digest"))
 
 
+@query("scan_html_reports", f"WITH {PAGE_ROWS} SELECT row_html FROM u")
+def q_scan_html_reports(spark, sf_dir):
+    """The pages written as report files, each of many pages, and their rows read back from the files."""
+    path = f"{shared_folder(spark)}/framewright/reports-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "pages").select("html").write.text(path)
+    return R.extract_table_rows(scan_html_reports(spark, path), row_tag="ul").select("row_html")
+
+
 @query("extract_table_rows", f"WITH {PAGE_ROWS} SELECT page_id, row_no, row_html FROM u")
 def q_extract_table_rows(spark, sf_dir):
     return R.extract_table_rows(spread_table(spark, sf_dir, "pages"), ["page_id"], row_tag="ul")
