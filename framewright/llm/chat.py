@@ -3,8 +3,11 @@
 A finite-state machine over the roles reads the turns in order and marks those
 that are out of order. A template names what stands before and after a turn of
 each role and whether its text counts for the loss. Control strings inside
-texts are escaped, so that only the template's own marks are control strings,
-and reading the formatted segments back gives the turns exactly.
+texts are escaped, so that only the template's own marks are control strings.
+Reading back takes the segments of a conversation as one string: where they were
+cut does not matter. An automaton finds each turn's opening mark, the role it
+stands for, and the closing mark of that role; only then is a text unescaped.
+A string that is no sequence of whole turns is an error.
 
 Turns are sorted within partitions of whole conversations and read as a stream,
 so a conversation of any length takes the memory of one turn.
@@ -18,6 +21,7 @@ turns each. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -45,6 +49,18 @@ class Template:
         e = regex.escape(self.escape)
         rest = "|".join(f"{regex.escape(c[0])}{e}*{regex.escape(c[1:])}" for c in self.controls)
         object.__setattr__(self, "_pattern", regex.compile(rest))
+        head, tail = self.other.before.split("{role}")
+        opening = [*(m.before for m in self.roles.values()), head]
+        closing = [*(m.after for m in self.roles.values()), self.other.after, tail]
+        for mark in (*opening, *closing):
+            if not any(c in mark for c in self.controls):
+                raise ValueError(f"the mark {mark!r} holds no control string")
+        for mark in closing:  # one that overlaps itself could begin in the text before it
+            if any(mark.startswith(mark[k:]) for k in range(1, len(mark))):
+                raise ValueError(f"the mark {mark!r} ends as it begins")
+        for k, mark in enumerate(opening):
+            if any(other.startswith(mark) for other in opening[:k] + opening[k + 1 :]):
+                raise ValueError(f"the mark {mark!r} begins another one")
 
     def escaped(self, text: str) -> str:
         """An escape more after the first character of every control string, escaped or not."""
@@ -96,39 +112,97 @@ def format_chats(turns: DataFrame, template: Template = INSTRUCTION, conv_id: st
     return _in_order(source, "conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, position long, text string, loss boolean, in_order boolean")
 
 
+class _Reader:
+    """The automaton that reads one conversation, from pieces of its formatted string.
+
+    It waits for an opening mark, the end of a role's name, or the end of a text,
+    and holds no more than the turn it is in.
+    """
+
+    def __init__(self, template: Template):
+        self.template = template
+        self.opening = {m.before: r for r, m in template.roles.items()}
+        self.head, self.tail = template.other.before.split("{role}")
+        self.waiting = re.compile("|".join(map(re.escape, [*self.opening, self.head])))
+        self.longest = max(map(len, [*self.opening, self.head]))
+        self.rest, self.masked = "", []  # what is not read yet, and the stretches of it that count for the loss
+        self.state, self.role, self.before, self.searched = "between", "", "", 0
+        self.n_turns, self.loss_chars, self.chars, self.in_order = 0, 0, 0, True
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, piece: str, loss: bool) -> None:
+        if loss and piece:
+            self.masked.append((len(self.rest), len(self.rest) + len(piece)))
+        self.rest += piece
+        self.chars += len(piece)
+        at = 0
+        while (next_at := self._step(at)) is not None:
+            at, self.searched = next_at, next_at
+        self.rest = self.rest[at:]
+        self.masked = [(max(a - at, 0), b - at) for a, b in self.masked if b > at]
+        self.searched -= at
+
+    def _step(self, at: int) -> int | None:
+        """Where the reading goes on after the next mark, or None if it is not there yet."""
+        if self.state == "between":
+            mark = self.waiting.match(self.rest, at)
+            if mark is None:
+                if len(self.rest) - at >= self.longest:
+                    raise ValueError(f"no turn begins with {self.rest[at : at + self.longest]!r}")
+                return None
+            known = self.opening.get(mark[0])
+            self.state, self.role = ("role", "") if known is None else ("text", known)
+            return mark.end()
+        end = self.tail if self.state == "role" else self.template.marks(self.role).after
+        found = self.rest.find(end, max(at, self.searched))
+        if found < 0:
+            self.searched = max(at, len(self.rest) - len(end) + 1)
+            return None
+        if self.state == "role":
+            self.state, self.role = "text", self.template.unescaped(self.rest[at:found])
+        else:
+            self._turn(at, found)
+            self.state = "between"
+        return found + len(end)
+
+    def _turn(self, a: int, b: int) -> None:
+        plain = self.template.unescaped(self.rest[a:b])
+        self.n_turns += 1
+        self.turns.update(f"{self.role}\n{plain}\n".encode("utf-8", "surrogatepass"))
+        self.in_order &= self.role in self.template.turns.get(self.before, ())
+        self.before = self.role
+        learned = "".join(self.rest[max(a, x) : min(b, y)] for x, y in self.masked if x < b and y > a)
+        if learned:
+            learned = self.template.unescaped(learned)
+            self.loss_chars += len(learned)
+            self.loss.update(learned.encode("utf-8", "surrogatepass"))
+
+    def close(self) -> tuple:
+        if self.state != "between" or self.rest:
+            raise ValueError("a conversation ends inside a turn")
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.in_order
+
+
 def read_chats(segments: DataFrame, template: Template = INSTRUCTION) -> DataFrame:
-    """What formatted segments hold, one row a conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, in_order."""
-    role_of = {m.before: r for r, m in template.roles.items()}
-    head, tail = template.other.before.split("{role}")
+    """What formatted segments hold, one row a conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, in_order.
+
+    Turns, roles and their order are found by the marks alone. The loss digest
+    takes what lies under the ``loss`` flags inside the texts.
+    """
 
     def run(batches):
-        conversation, open_ = object(), None
+        conversation, reader = None, None
         for batch in batches:
             done = []
-            for conv, position, text, loss, good in zip(*(c.to_pylist() for c in batch.columns)):
-                if open_ is None or conv != conversation:
-                    if open_ is not None:
-                        done.append(close(conversation, open_))
-                    conversation, open_ = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]
-                open_[4] += len(text)
-                open_[5] &= good
-                if position % 3 == 0:
-                    role = role_of.get(text)
-                    role = template.unescaped(text.removeprefix(head).removesuffix(tail)) if role is None else role
-                    open_[0] += 1
-                    open_[1].update(f"{role}\n".encode("utf-8", "surrogatepass"))
-                elif position % 3 == 1:
-                    plain = template.unescaped(text)
-                    open_[1].update(f"{plain}\n".encode("utf-8", "surrogatepass"))
-                    if loss:
-                        open_[2] += len(plain)
-                        open_[3].update(plain.encode("utf-8", "surrogatepass"))
+            for conv, text, loss in zip(*(c.to_pylist() for c in batch.columns)):
+                if reader is None or conv != conversation:
+                    if reader is not None:
+                        done.append((conversation, *reader.close()))
+                    conversation, reader = conv, _Reader(template)
+                reader.feed(text, loss)
             yield batch_of(done)
-        if open_ is not None:
-            yield batch_of([close(conversation, open_)])
-
-    def close(conv, o):
-        return conv, o[0], o[1].hexdigest(), o[2], o[3].hexdigest(), o[4], o[5]
+        if reader is not None:
+            yield batch_of([(conversation, *reader.close())])
 
     def batch_of(rows):
         columns = list(zip(*rows)) or [()] * 7
@@ -136,5 +210,5 @@ def read_chats(segments: DataFrame, template: Template = INSTRUCTION) -> DataFra
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "in_order"]
-    source = segments.select("conv_id", "position", "text", "loss", "in_order")
-    return _in_order(source, "conv_id", "position").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, in_order boolean")
+    source = _in_order(segments.select("conv_id", "position", "text", "loss"), "conv_id", "position").select("conv_id", "text", "loss")
+    return source.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, in_order boolean")

@@ -2,11 +2,16 @@
 
 The components are dealt into ``lists``; each gives a partial score. (1) In
 every pair of a block of queries and a block of candidates, each list gives its
-k best partial scores; the k-th best of their whole scores is a safe cutoff for
-the query. (2) A score at or above the cutoff needs a partial score of at least
-the cutoff divided by the number of lists, so only such entries are collected.
-(3) Their missing parts are resolved exactly, and those at or above the cutoff
-compete, at most k for each query and block.
+k best partial scores; the k-th best of the whole scores of these few is a safe
+cutoff for the query. (2) A score at or above the cutoff needs a partial score of
+at least the cutoff divided by the number of lists, so only such entries are
+collected. A list is read in the order of its candidates' lengths, and only as
+far as a product of lengths can reach that share. (3) The missing parts of the
+entries are resolved exactly, and those at or above the cutoff compete, at most
+k for each query and block.
+
+A task holds one block of either side and the partial scores of one strip of
+queries.
 
 Components are floor(``scale`` * x); sums are taken in doubles, which are exact
 below 2**53. The cutoffs travel inside the query blocks by a join.
@@ -27,6 +32,10 @@ from framewright.llm.vectors import best_first, cells, packed_blocks, spread, us
 from framewright.session import materialize
 
 
+#: numbers in the largest array of a strip, 16 MB of doubles
+_STRIP = 1 << 21
+
+
 def _parts(width: int, lists: int) -> list[slice]:
     edges = [width * k // lists for k in range(lists + 1)]
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
@@ -37,6 +46,27 @@ def _floored(m: np.ndarray, scale: int) -> np.ndarray:
     return m.astype(np.int32) if np.abs(m).max(initial=0) < 1 << 31 else m
 
 
+def collected(q: np.ndarray, c: np.ndarray, share: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Entries of one list, as row * candidates + column, whose partial score reaches their query's share.
+
+    ``order`` sorts the candidates by falling length; those behind the last one
+    whose length times a query's can reach its share are not multiplied.
+    """
+    reach = np.linalg.norm(q, axis=1) * (1 + 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        needed = np.where(share > 0, share / reach, 0.0).min(initial=np.inf)
+    read = order[: np.searchsorted(-length[order], -needed, side="right")]
+    row, col = np.nonzero(q @ c[read].T >= share[:, None])
+    return row * len(c) + read[col]
+
+
+def completed(q: np.ndarray, c: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Whole scores of the entries."""
+    step = max(1, _STRIP // max(1, q.shape[1]))
+    scores = [np.einsum("ij,ij->i", q[row[lo : lo + step]], c[col[lo : lo + step]]) for lo in range(0, len(row), step)]
+    return np.concatenate(scores) if scores else np.empty(0)
+
+
 def _table(query, vec, score) -> pa.Table:
     return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})
 
@@ -64,20 +94,23 @@ def top_k(
     blocks = materialize(packed_blocks(asked, by_q, width, lambda m: _floored(m, scale)), "queries")
     schema = "query_id long, vec_id long, score long"
 
-    def partial(q, c):
-        q, c = q.astype(np.float64), c.astype(np.float64)
-        return [q[:, p] @ c[:, p].T for p in parts]
+    def strips(q):
+        step = max(1, _STRIP // max(1, vector_block))
+        return (slice(lo, lo + step) for lo in range(0, len(q), step))
 
     def gather(query, cand):
         (q_ids, q), (ids, c) = query, cand
-        scores, own = partial(q, c), q_ids[:, None] == ids
-        total, found = sum(scores), []
-        for s in scores:
-            row, col = best_first(np.where(own, -np.inf, s), ids, k)
-            found.append(row * len(ids) + col)
-        row, col = np.divmod(np.unique(np.concatenate(found)), len(ids))
-        row, col = row[~own[row, col]], col[~own[row, col]]
-        return _table(q_ids[row], ids[col], total[row, col])
+        c, found = c.astype(np.float64), []
+        for strip in strips(q):
+            some, own = q[strip].astype(np.float64), q_ids[strip, None] == ids
+            best = []
+            for p in parts:
+                row, col = best_first(np.where(own, -np.inf, some[:, p] @ c[:, p].T), ids, k)
+                best.append(row * len(ids) + col)
+            row, col = np.divmod(np.unique(np.concatenate(best)), len(ids))
+            row, col = row[~own[row, col]], col[~own[row, col]]
+            found.append(_table(q_ids[strip][row], ids[col], completed(some, c, row, col)))
+        return pa.concat_tables(found)
 
     gathered = cells(blocks, n_q, candidates, n_v, gather, schema)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -104,17 +137,23 @@ def top_k(
 
     def resolve(query, cand):
         (q_ids, q, cut), (ids, c) = query, cand
-        scores = partial(q, c)
-        share = (cut / lists)[:, None]
-        enough = np.logical_or.reduce([s >= share for s in scores]) & (q_ids[:, None] != ids)
-        row, col = np.nonzero(enough)
-        score = sum(s[row, col] for s in scores)
-        good = score >= cut[row]
-        row, col, score = row[good], col[good], score[good]
-        order = np.lexsort((ids[col], -score, row))
-        row, col, score = row[order], col[order], score[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        return _table(q_ids[row[place < k]], ids[col[place < k]], score[place < k])
+        c, found = c.astype(np.float64), []
+        long = [np.linalg.norm(c[:, p], axis=1) for p in parts]
+        order = [np.argsort(-n, kind="stable") for n in long]
+        for strip in strips(q):
+            some, least = q[strip].astype(np.float64), cut[strip]
+            entries = [collected(some[:, p], c[:, p], least / lists, n, o) for p, n, o in zip(parts, long, order)]
+            row, col = np.divmod(np.unique(np.concatenate(entries)), len(ids))
+            other = q_ids[strip][row] != ids[col]
+            row, col = row[other], col[other]
+            score = completed(some, c, row, col)
+            good = score >= least[row]
+            row, col, score = row[good], col[good], score[good]
+            first = np.lexsort((ids[col], -score, row))
+            row, col, score = row[first], col[first], score[first]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append(_table(q_ids[strip][row[kept]], ids[col[kept]], score[kept]))
+        return pa.concat_tables(found)
 
     resolved = cells(told, n_q, candidates, n_v, resolve, schema)
     return resolved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,7 +6,9 @@ the compressed bytes; equal digests are compared byte for byte. ``headers``
 has one row for each page: the exact WARC header and HTTP header of its record
 and the digest of its payload. ``read_archive`` joins the two on the digest,
 verifies the digest of the bytes, and rebuilds each record; what the records
-say is parsed from them. ``gzip_members`` gives what a compressed WARC file
+say is parsed from them. A payload that many pages have is copied to up to 16
+keys of that join, and never more often than it has pages, so that its records
+are rebuilt by several tasks. ``gzip_members`` gives what a compressed WARC file
 consists of.
 
 A payload of at least ``revisit_from`` bytes that several pages have is a
@@ -78,13 +80,15 @@ def write_archive(
     spark = pages.sparkSession
     rows = _digested(pages, page_id, url, payload)
     _payloads(rows).write.option("compression", "none").parquet(f"{folder}/payloads")
-    shared = spark.read.parquet(f"{folder}/payloads").where("pages > 1").select("digest", "owner")
+    shared = spark.read.parquet(f"{folder}/payloads").where("pages > 1").select("digest", "owner", "pages")
     # a payload that many pages share is dealt over the salts
     shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    # which of its copies a record is read with; the only record of a payload has the only copy
+    copy = F.pmod("salt", F.least(F.coalesce("pages", F.lit(1)), F.lit(_SALTS))).cast("int")
     salted = rows.withColumn("bytes", F.octet_length("payload").cast("long")).drop("payload").withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(_SALTS)).cast("int"))
     known = salted.join(shared, ["digest", "salt"], "left").withColumn("owner", F.coalesce("owner", "id"))
     warc, http = _header(revisit_from, date)
-    known.select("id", "digest", warc.alias("warc_header"), http.alias("http_header")).write.parquet(f"{folder}/headers")
+    known.select("id", "digest", copy.alias("copy"), warc.alias("warc_header"), http.alias("http_header")).write.parquet(f"{folder}/headers")
 
 
 def _parse(head: str) -> dict[str, str]:
@@ -99,7 +103,9 @@ def _page_of(name: str | None) -> int | None:
 def read_archive(spark: SparkSession, folder: str, records: bool = True) -> DataFrame:
     """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to, and record and payload if asked for."""
     headers, payloads = spark.read.parquet(f"{folder}/headers"), spark.read.parquet(f"{folder}/payloads")
-    joined = headers.join(payloads.select("digest", "body"), "digest").select("digest", "warc_header", "http_header", "body")
+    copies = F.explode(F.sequence(F.lit(0), F.least("pages", F.lit(_SALTS)).cast("int") - 1))
+    copied = payloads.select("digest", copies.alias("copy"), "body")
+    joined = headers.join(copied, ["digest", "copy"]).select("digest", "warc_header", "http_header", "body")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["record", "payload"] if records else [])]
 
     def rebuild(batches):

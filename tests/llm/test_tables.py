@@ -36,6 +36,20 @@ def test_archive_round_trip(spark, tmp_path):
     assert stored.count() == len({h or "" for _, _, h, _ in rows})
 
 
+def test_a_payload_of_many_pages_is_read_by_several_keys(spark, tmp_path):
+    rows = [(i, f"u{i}", "x" * 150 if i % 3 else f"own {i}") for i in range(120)] + [(500, "u", "two" * 50), (501, "u", "two" * 50)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    heads = spark.read.parquet(str(tmp_path / "a" / "headers")).groupBy("digest", "copy").count().collect()
+    copies = defaultdict(dict)
+    for r in heads:
+        copies[r["digest"]][r["copy"]] = r["count"]
+    hot = copies[hashlib.sha256(b"x" * 150).hexdigest()]
+    assert len(hot) > 8 and max(hot.values()) < 25
+    assert set(copies[hashlib.sha256(b"two" * 50).hexdigest()]) <= {0, 1}
+    got = warc.read_archive(spark, str(tmp_path / "a")).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got) == sorted((i, h) for i, _, h in rows)
+
+
 def test_empty_archive(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a"))
     assert warc.read_archive(spark, str(tmp_path / "a")).count() == 0
@@ -72,6 +86,44 @@ def test_top_k_against_all_scores(spark, lists):
             assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_entries_of_a_list_are_those_that_reach_the_share():
+    q, c = (np.floor(np.sin(np.arange(n * 6) * s).reshape(n, 6) * 1024) for n, s in ((40, 7.77), (900, 3.33)))
+    c *= np.geomspace(1, 0.01, 900)[:, None]
+    c = np.floor(c)
+    share = np.partition(q @ c.T, -20, axis=1)[:, -20] / 2
+    share[3], share[7] = -np.inf, -5.0
+    length = np.linalg.norm(c, axis=1)
+    order = np.argsort(-length, kind="stable")
+    for some in (slice(8, 40), slice(0, 40)):
+        row, col = np.nonzero(q[some] @ c.T >= share[some, None])
+        assert set(topk.collected(q[some], c, share[some], length, order)) == set(row * len(c) + col)
+
+
+def test_a_list_is_read_only_as_far_as_it_can_reach():
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, np.ndarray):
+                read.append(len(key))
+            return super().__getitem__(key)
+
+    read, q = [], np.array([[3.0, 4.0]])
+    c = np.array([[k, 0.0] for k in range(1, 101)])
+    length = np.linalg.norm(c, axis=1)
+    found = topk.collected(q, c.view(Counted), np.array([290.0]), length, np.argsort(-length))
+    assert sorted(found.tolist()) == [96, 97, 98, 99] and read == [43]
+
+
+def test_small_strips_give_the_same_scores(spark, monkeypatch):
+    df = spark.createDataFrame(_vectors(450)[:450], SCHEMA)
+    asked = df.where("vec_id % 50 = 0")
+    whole, strips_of_two = (sorted(tuple(r) for r in topk.top_k(df, asked, vector_block=n).collect()) for n in (8192, 1 << 20))
+    assert len(whole) == 90 and strips_of_two == whole
+    monkeypatch.setattr(topk, "_STRIP", 9)
+    q, c = np.arange(12.0).reshape(3, 4), np.arange(20.0).reshape(5, 4)
+    row, col = np.divmod(np.arange(15), 5)
+    assert (topk.completed(q, c, row, col) == (q @ c.T).ravel()).all()
+
+
 def test_few_candidates_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], "c"), (100, [-1.0, 2.0], "c"), (7, [-5.0, 0.0], "c")], SCHEMA)
     rows = sorted(tuple(r) for r in topk.top_k(few, few.where("vec_id % 100 = 0")).collect())
@@ -131,3 +183,50 @@ def test_chats_round_trip(spark):
     inner = segments.where("position % 3 = 1").collect()
     assert not any(control in r["text"] for r in inner for control in chat.INSTRUCTION.controls)
     assert chat.read_chats(chat.format_chats(turns.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_chats_are_read_by_their_marks(size):
+    """Where the formatted string is cut tells the reader nothing."""
+    t = chat.INSTRUCTION
+    turns = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]"), ("tool[/ROLE]", " [/TURN"), ("", ""), ("user", "<"), ("assistant", "<\\s></s>\\"), ("system", "[INST] <")]
+    string, flags = "", []
+    for who, said in turns:
+        marks = t.marks(who)
+        for text, loss in ((marks.before, False), (t.escaped(said), marks.loss), (marks.after, False)):
+            string += text
+            flags += [loss] * len(text)
+    reader = chat._Reader(t)
+    at = 0
+    while at < len(string):
+        end = at + 1
+        while end < len(string) and end - at < size and flags[end] == flags[at]:
+            end += 1
+        reader.feed(string[at:end], flags[at])
+        at = end
+    whole, loss = "".join(f"{w}\n{s}\n" for w, s in turns), "".join(s for w, s in turns if w == "assistant")
+    want = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(string), False)
+    assert reader.close() == want
+
+
+@pytest.mark.parametrize("string", ["hello", "[INST] no end", "[INST] a [/INST]<s", "[ROLE]x"])
+def test_a_string_that_is_no_conversation_is_refused(string):
+    with pytest.raises(ValueError):
+        reader = chat._Reader(chat.INSTRUCTION)
+        reader.feed(string, False)
+        reader.close()
+
+
+def test_marks_that_could_be_misread_are_refused():
+    other, turns = chat.INSTRUCTION.other, chat.INSTRUCTION.turns
+    for marks in (chat.Marks("<u>", "end"), chat.Marks("<u>", "<e><"), chat.Marks("[ROLE]", "<e>")):
+        with pytest.raises(ValueError):
+            chat.Template(roles={"user": marks}, other=other, turns=turns, controls=("<u>", "<e>", *chat.INSTRUCTION.controls))
+
+
+def test_a_long_conversation_is_read_turn_by_turn(spark):
+    turns = spark.range(30_000).selectExpr("1 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('<s>', int(id % 5)) AS text")
+    row = chat.read_chats(chat.format_chats(turns)).first()
+    loss = "".join("<s>" * (i % 5) for i in range(1, 30_000, 2))
+    assert (row["n_turns"], row["loss_chars"], row["in_order"]) == (30_000, len(loss), True)
+    assert row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
