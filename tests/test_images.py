@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from framewright.functions.kernels import KERNELS, axis_taps, weight_matrix
 from framewright.operators import images as I
 from framewright.plans.stages import run_stages
-from framewright.sources.images import scan_images
+from framewright.sources.images import scan_images, write_images
 
 SCHEMA = "image_id int, height int, width int, channels int, pixels array<double>"
 
@@ -157,6 +157,43 @@ def test_scan_images(spark, tmp_path):
         scan_images(spark, str(tmp_path / "missing.png")).collect()
 
 
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_written_images_come_back(spark, tmp_path, channels):
+    shapes = [(1, 1), (4, 5), (3, 70), (300, 90)]  # the last takes several stored blocks
+    images = [np.arange(h * w * channels).reshape(h, w, channels) * 37 % 256 for h, w in shapes]
+    named = table(spark, *images).withColumn("path", F.concat(F.lit("i"), "image_id"))
+    write_images(named.repartition(3), str(tmp_path / "files"))
+    rows = {r.path.split("/")[-1]: r for r in scan_images(spark, str(tmp_path / "files"), "unchanged").collect()}
+    assert set(rows) == {f"i{k}.png" for k in range(len(images))}
+    for k, image in enumerate(images):
+        r = rows[f"i{k}.png"]
+        np.testing.assert_array_equal(np.array(r.pixels).reshape(r.height, r.width, r.channels), image)
+    assert (tmp_path / "files" / "_SUCCESS").exists()
+    assert sorted(p.name for p in (tmp_path / "files").glob(".*.png")) == []
+    write_images(named.where("false"), f"file://{tmp_path}/none")
+    assert (tmp_path / "none" / "_SUCCESS").exists()
+
+
+def test_images_that_cannot_be_written(spark, tmp_path):
+    good = table(spark, np.ones((2, 3, 3)), np.ones((2, 3, 1))).withColumn("path", F.concat(F.lit("i"), "image_id"))
+    with pytest.raises(ValueError, match="two images are named same"):
+        write_images(good.withColumn("path", F.lit("same")), str(tmp_path / "a"))
+    bad = {
+        "no name": good.withColumn("path", F.lit(None).cast("string")),
+        "no name for an image file: 'up": good.withColumn("path", F.concat(F.lit("up/"), "path")),
+        "image i. has values that are no bytes": good.withColumn("pixels", F.transform("pixels", lambda v: v * 300)),
+        "values": good.withColumn("pixels", F.transform("pixels", lambda v: v * float("nan"))),
+        "size of image i. differ": good.withColumn("height", F.lit(9)),
+        "size of image i1? differ": good.where("image_id = 1").withColumn("pixels", F.lit(None).cast("array<double>")),
+        "cannot have 2 channels": good.where("image_id = 1").selectExpr("path", "2 AS height", "1 AS width", "2 AS channels", "array(1D, 2D, 3D, 4D) AS pixels"),
+        "cannot be empty": good.selectExpr("path", "0 AS height", "0 AS width", "1 AS channels", "cast(array() AS array<double>) AS pixels"),
+    }
+    for k, (reason, images) in enumerate(bad.items()):
+        with pytest.raises(PySparkException, match=reason):
+            write_images(images, str(tmp_path / f"b{k}"))
+        assert not (tmp_path / f"b{k}" / "_SUCCESS").exists()
+
+
 def test_stages(spark):
     images = table(spark, np.ones((40, 70, 3))).withColumnRenamed("pixels", "p")
     stages = [

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.functions.kernels import CUBIC, KERNELS, SUPPORT
 from framewright.operators import images as I
+from framewright.session import shared_folder
+from framewright.sources.images import PIXEL_SCHEMA, scan_images, write_images
 from workload.registry import query, rounded, spread_table, sql_rounded as r
 
 SIDE = 8
@@ -51,6 +55,68 @@ px AS (SELECT image_id, i // {SIDE} AS y, i % {SIDE} AS x, c,
 OUT = f"SELECT image_id, c, y, x, {r('v')} AS v FROM"
 
 
+# -- image files -------------------------------------------------------------
+
+LINES = 50  # vectors in an image, each a line
+GRAY_WEIGHTS = (0.114, 0.587, 0.299)
+FILES = f"""
+n AS (SELECT vec_id // {LINES} AS image_id, row_number() OVER (PARTITION BY vec_id // {LINES} ORDER BY vec_id)::INT - 1 AS y, embedding
+      FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+e AS (SELECT image_id, y, unnest(range(0, 64))::INT AS x, unnest(embedding)::DOUBLE AS v FROM n),
+b AS (SELECT image_id, y, x, (((floor(v * 1024)::BIGINT % 256) + 256) % 256)::DOUBLE AS p, [1, 3, 4][image_id % 3 + 1] AS n FROM e),
+px AS (SELECT image_id, y, x, n, p, 255 - p AS g, (p + 128) % 256 AS r, 255 - floor(p / 2) AS a FROM b)"""
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty vectors an image, one a line: gray, in three channels, or with opacity."""
+    byte = F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * 1024), F.lit(256)).cast("double"))
+    channels = lambda p: F.array(p, 255 - p, (p + 128) % 256, 255 - F.floor(p / 2).cast("double"))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    lines = spread_table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) = 64").where(finite)
+    lines = lines.select(F.floor(F.col("vec_id") / LINES).alias("image_id"), F.struct("vec_id", byte.alias("line")).alias("line"))
+    whole = lines.groupBy("image_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    n = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.col("image_id") % 3 + 1).cast("int"))
+    pixels = F.transform(F.flatten(F.transform("lines", lambda line: line["line"])), lambda p: F.slice(channels(p), 1, n))
+    return whole.select(
+        F.concat(F.lit("lines-"), "image_id").alias("path"),
+        F.size("lines").alias("height"),
+        F.lit(64).alias("width"),
+        n.alias("channels"),
+        F.flatten(pixels).alias("pixels"),
+    )
+
+
+@query(
+    "scan_images",
+    f"""WITH {FILES},
+    read AS (
+        SELECT image_id, 'unchanged' AS flag, n AS channels, c, y, x, [p, g, r, a][c + 1] AS v
+        FROM px CROSS JOIN (SELECT unnest(range(0, 4))::INT AS c) k WHERE c < n
+        UNION ALL
+        SELECT image_id, 'color', 3, c, y, x, CASE WHEN n = 1 THEN p ELSE [p, g, r][c + 1] END
+        FROM px CROSS JOIN (SELECT unnest(range(0, 3))::INT AS c) k
+        UNION ALL
+        SELECT image_id, 'grayscale', 1, 0, y, x,
+               CASE WHEN n = 1 THEN p ELSE {GRAY_WEIGHTS[0]} * p + {GRAY_WEIGHTS[1]} * g + {GRAY_WEIGHTS[2]} * r END
+        FROM px)
+    SELECT image_id::BIGINT AS image_id, flag, channels::INT AS channels, c, y, x, {r('v')} AS v FROM read""",
+)
+def q_scan_images(spark, sf_dir):
+    """The images written as files, which the executors read back under each of the three flags."""
+    folder = f"{shared_folder(spark)}/framewright/images-{uuid.uuid4().hex}"
+    write_images(image_files(spark, sf_dir), folder)
+    keys = [F.regexp_extract("path", r"lines-(\d+)\.png$", 1).cast("long").alias("image_id")]
+    read = [
+        scan_images(spark, folder, flag).select(*keys, F.lit(flag).alias("flag"), *PIXEL_SCHEMA.fieldNames()[1:])
+        for flag in ("unchanged", "color", "grayscale")
+    ]
+    # explode_pixels gives the channel's number; the number of channels is a key here
+    whole = read[0].unionByName(read[1]).unionByName(read[2]).withColumn("n", F.col("channels"))
+    return I.explode_pixels(whole, ("image_id", "flag", "n")).select(
+        "image_id", "flag", F.col("n").alias("channels"), "c", "y", "x", rounded(F.col("v")).alias("v")
+    )
+
+
 # -- kernel weights in SQL, written independently of the library -------------
 
 
