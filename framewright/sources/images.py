@@ -132,8 +132,6 @@ class _ImageWriter(DataSourceArrowWriter):
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder's address and the folder in it."""
-    if folder.startswith("file:") and "://" not in folder:
-        folder = folder.removeprefix("file:")
     store, root = fs.FileSystem.from_uri(folder)
     return store, root.rstrip("/")
 
