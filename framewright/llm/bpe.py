@@ -8,11 +8,20 @@ the one before joins the token left of it; that rule's right half must begin
 with the left half of the rule before. The lookahead is the greatest sum of
 left halves along such a chain, found by one pass over the rules in rank order.
 
-So a word of any length is encoded with a buffer of the lookahead and one
-longest token: fill, merge, emit what is stable, go on. Words that fit into
-the buffer are remembered in a bounded table. Decoding turns each id into its
-bytes and feeds them to an incremental UTF-8 machine, which holds back the
-bytes of an unfinished character.
+That bound holds in every context; most need a few symbols. While the left side
+of a place is merged by itself, its last token passes through a short list of
+tokens, each there until a merge of a known rank. A rule can join the place only
+if its left half is in that list, its rank comes before that merge, and its right
+half can be what follows: it begins with the symbols that were read, or they
+with it. If no rule is left, the tokens before the place are stable.
+
+So a word of any length is encoded with a bounded buffer: every few symbols,
+merge, emit what is stable, go on; the general bound is for the places that the
+context leaves open. Every word takes this way; those that fit into the buffer
+are remembered in a bounded table. A text is encoded in stretches cut at single
+spaces, and each one's ids go to the digest and the decoder and are dropped. The
+decoder turns ids into bytes and feeds them to an incremental UTF-8 machine,
+which holds back the bytes of an unfinished character.
 
 Nulls and empty texts give no ids. Rows are independent: no shuffle.
 """
@@ -36,6 +45,11 @@ from framewright.llm.blobs import pieces
 
 _REMEMBERED = 600_000
 _NO_RULE = 1 << 60
+#: symbols read between two looks at what is stable
+_STEP = 8
+#: characters in a stretch of a text; it ends before the next single space
+_STRETCH = 1 << 16
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: characters for which Python's own splitting and lower case agree with the tokenizer file's rules
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 
@@ -83,6 +97,11 @@ class Transducer:
         self.lookahead = sufficient_lookahead(rules, self.length)
         self.window = self.lookahead + max(map(self.length, self.vocab)) + 1
         self.symbols = {v: self.length(t) for t, v in self.vocab.items()}
+        # by left half and first symbol of the right half: its spelling, whether it ends a word, and the rank
+        self.followers: dict[tuple[int, str], list[tuple[str, bool, int]]] = {}
+        for k, (a, b) in enumerate(rules):
+            plain = b.removesuffix(self.suffix) if self.suffix else b
+            self.followers.setdefault((self.vocab[a], plain[0]), []).append((plain, plain != b, k))
         self.alphabet = byte_alphabet()
         self.table = {b: c for b, c in enumerate(self.alphabet)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -100,53 +119,84 @@ class Transducer:
         self.decimal = [str(i).encode() for i in range(len(self.bytes_of))]
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """The merge list applied in place: always the lowest rank, the leftmost of equal ones."""
+    def merged(self, ids: list[int], spine: list[tuple[int, int]] | None = None) -> list[int]:
+        """The merge list applied in place: always the lowest rank, the leftmost of equal ones.
+
+        ``spine`` receives the tokens that were last in turn, each with the highest
+        rank that was applied while it was there; the one that stays has no bound.
+        """
         get, product = self.rank.get, self.product
         ranks = [get(pair, _NO_RULE) for pair in zip(ids, ids[1:])]
+        tail, highest = ids[-1] if ids else None, -1
         while ranks:
             best = min(ranks)
             if best == _NO_RULE:
                 break
             at = ranks.index(best)
+            highest = max(highest, best)
             new = ids[at] = product[best]
             del ids[at + 1], ranks[at]
             if at:
                 ranks[at - 1] = get((ids[at - 1], new), _NO_RULE)
             if at < len(ranks):
                 ranks[at] = get((new, ids[at + 1]), _NO_RULE)
+            elif spine is not None:
+                spine.append((tail, highest))
+                tail, highest = new, -1
+        if spine is not None and ids:
+            spine.append((tail, _NO_RULE))
         return ids
 
+    def _closed(self, left: list[int], tokens: list[int], follows: str) -> bool:
+        """Whether nothing that begins with ``follows`` can change the tokens of the symbols ``left``."""
+        spine: list[tuple[int, int]] = []
+        if self.merged(list(left), spine) != tokens:
+            return False
+        for token, until in spine:
+            for plain, ends, rank in self.followers.get((token, follows[0]), ()):
+                if rank < until and (follows.startswith(plain) and not (ends and len(plain) < len(follows)) or plain.startswith(follows)):
+                    return False
+        return True
+
+    def _stable(self, buffer: list[int], follows: str) -> list[int]:
+        """The tokens at the buffer's start that no continuation changes; ``follows`` spells the buffer and what was read after it."""
+        out, tokens, used, first = [], self.merged(list(buffer)), 0, 0
+        place = 0
+        for k, token in enumerate(tokens):
+            place += self.symbols[token]
+            if place >= len(follows):
+                break
+            if self._closed(buffer[used:place], tokens[first : k + 1], follows[place:]):
+                out.extend(tokens[first : k + 1])
+                used, first = place, k + 1
+        if not out and len(buffer) >= self.window:
+            for token in tokens:
+                if used + self.symbols[token] > len(buffer) - self.lookahead:
+                    break
+                used += self.symbols[token]
+                out.append(token)
+        return out
+
     def word_ids(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Tokens of one word, each as soon as it is stable. The buffer never passes ``window`` symbols."""
+        """Tokens of one word, each as soon as it is seen to be stable. The buffer never passes ``window`` symbols."""
         symbols = iter(symbols)
-        vocab, buffer = self.vocab, []
+        vocab, buffer, spelled, due = self.vocab, [], [], _STEP
         last = next(symbols, None)  # held back: only the end of the word tells whether it takes the suffix
         for symbol in symbols:
             if last in vocab:
                 buffer.append(vocab[last])
+                spelled.append(last)
             last = symbol
-            if len(buffer) >= self.window:
-                used = 0
-                for token in self.merged(list(buffer)):
-                    if used + self.symbols[token] > len(buffer) - self.lookahead:
-                        break
-                    used += self.symbols[token]
-                    yield token
-                del buffer[:used]
+            if len(buffer) >= due:
+                stable = self._stable(buffer, "".join(spelled))
+                used = sum(map(self.symbols.__getitem__, stable))
+                yield from stable
+                del buffer[:used], spelled[:used]
+                due = min(len(buffer) + _STEP, max(self.window, len(buffer) + 1))
         if last is not None:
             end = last + self.suffix
             yield from self.merged(buffer + ([vocab[end]] if end in vocab else []))
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word that is spelled in the byte alphabet."""
-        if len(word) >= self.window:
-            return tuple(self.word_ids(word))
-        vocab = self.vocab
-        ids = [vocab[s] for s in word[:-1] if s in vocab]
-        end = word[-1] + self.suffix
-        return tuple(self.merged([*ids, vocab[end]] if end in vocab else ids))
-
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a stretch without white space, in normal form; a word in it may be known by itself."""
         known, ids = self.known, []
@@ -154,7 +204,7 @@ class Transducer:
             found = known.get(word)
             if found is None:
                 spelled = word.encode().decode("latin-1").translate(self.table)
-                found = self._word(spelled)
+                found = tuple(self.word_ids(spelled))
                 if len(spelled) < self.window and len(known) < _REMEMBERED:
                     known[word] = found
             ids.extend(found)
@@ -177,7 +227,7 @@ class Transducer:
     def _any(self, text: str) -> list[int]:
         normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
         words = self.library.pre_tokenizer.pre_tokenize_str(normal)
-        return list(chain.from_iterable(self._word(w) for w, _ in words if w))
+        return list(chain.from_iterable(self.word_ids(w) for w, _ in words if w))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, as the library gives without added special tokens."""
@@ -194,12 +244,24 @@ class Transducer:
             return []
         return self._plain(text) if self.pattern and not _PLAIN.search(text) else self._any(text)
 
-    def decode(self, ids: list[int], at_once: int = 1 << 14) -> Iterator[str]:
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, a stretch at a time. No rule of such a file reaches over a single space into what is before it."""
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + _STRETCH)
+            end = cut.start() if cut else len(text)
+            yield self.encode(text[at:end])
+            at = end
+
+    def decode(self, stretches: Iterable[list[int]], at_once: int = 1 << 14) -> Iterator[str]:
         """The text of the ids in pieces."""
         machine, between = codecs.getincrementaldecoder("utf-8")("replace"), b" " if self.joined_by_space else b""
-        for lo in range(0, len(ids), at_once):
-            raw = between.join(map(self.bytes_of.__getitem__, ids[lo : lo + at_once]))
-            yield machine.decode((between if lo else b"") + raw)
+        begun = False
+        for ids in stretches:
+            for lo in range(0, len(ids), at_once):
+                raw = between.join(map(self.bytes_of.__getitem__, ids[lo : lo + at_once]))
+                yield machine.decode((between if begun else b"") + raw)
+                begun = True
         yield machine.decode(b"", final=True)
 
 
@@ -217,14 +279,24 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         for batch in pieces(batches, "_text", 4 << 20):
             n, digest, decoded, lists = [], [], [], []
             for value in batch.column(0).to_pylist():
-                found = t.encode(value or "")
-                n.append(len(found))
-                digest.append(hashlib.sha256(b" ".join(map(t.decimal.__getitem__, found))).hexdigest())
-                back = hashlib.sha256()
-                for part in t.decode(found):
+                count, numbers, back, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+
+                def read(value=value):
+                    nonlocal count
+                    for found in t.stream(value or ""):
+                        if found:
+                            numbers.update((b" " if count else b"") + b" ".join(map(t.decimal.__getitem__, found)))
+                            count += len(found)
+                        if ids:
+                            kept.extend(found)
+                        yield found
+
+                for part in t.decode(read()):
                     back.update(part.encode())
+                n.append(count)
+                digest.append(numbers.hexdigest())
                 decoded.append(back.hexdigest())
-                lists.append(found if ids else None)
+                lists.append(kept)
             out = [batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(lists, pa.list_(pa.int32()))] if ids else []), names=names)
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import public_tokenizers
 import pytest
@@ -230,6 +231,61 @@ def test_long_words_stream(spark):
         assert list(t.word_ids(word)) == t.library.encode(word, add_special_tokens=False).ids
 
 
+def _spelled(t, word):
+    return word.encode().decode("latin-1").translate(t.table)
+
+
+def test_ordinary_words_are_emitted_before_they_end():
+    """The transducer does the work on words of any length, with a small buffer."""
+    t = bpe.transducer(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["photosynthesizing", "wohnungseigentum", "unglaublichkeiten", "straßenbahnhaltestelle", "incomprehensibility", "desafortunadamente"]
+    early = 0
+    for word in words:
+        read = 0
+
+        def symbols(word=word):
+            nonlocal read
+            for c in _spelled(t, word):
+                read += 1
+                yield c
+
+        found = []
+        for token in t.word_ids(symbols()):
+            early += read < len(_spelled(t, word))
+            found.append(token)
+        assert found == t.library.encode(word, add_special_tokens=False).ids
+    assert early >= len(words) // 2
+
+
+def test_emitted_tokens_hold_for_every_continuation():
+    t = bpe.transducer(public_tokenizers.path("word_bpe_49k.json"))
+    state, checked = 7, 0
+    for _ in range(1500):
+        letters = []
+        for _ in range(22):
+            state = state * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1
+            letters.append("aabcdeehilnnorsstttuy"[(state >> 33) % 21])
+        word = "".join(letters)
+        stable = t._stable([t.vocab[c] for c in word[:12]], word[:12])
+        checked += len(stable)
+        for end in range(13, 23):
+            assert t.library.encode(word[:end], add_special_tokens=False).ids[: len(stable)] == stable
+    assert checked > 500
+
+
+@pytest.mark.parametrize("stretch", [1, 9, 200])
+def test_stretches_of_a_text_give_its_ids(monkeypatch, stretch):
+    monkeypatch.setattr(bpe, "_STRETCH", stretch)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t = bpe.transducer(public_tokenizers.path(name))
+        for text in ("", " ", "a b", "one  two\n three <|endoftext|> fo\u0301 \u0301x  ", "it's 'll 12 34 --- ... \u4e2d\u6587 \U0001f469\u200d\U0001f467 end " * 9):
+            ids = t.library.encode(text, add_special_tokens=False).ids
+            assert list(chain.from_iterable(t.stream(text))) == ids
+            assert "".join(t.decode(t.stream(text))) == "".join(t.decode([ids]))
+            if name.startswith("word"):
+                assert "".join(t.decode(t.stream(text))) == t.library.decode(ids, skip_special_tokens=False)
+
+
 def test_packing_holds_every_id_once(docs, sample):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
