@@ -8,10 +8,12 @@ segments are a join key; the quotas of the longer chains then prune the pairs
 that share a key before the full distance is taken.
 
 Equal fingerprints are put together before anything is shuffled by key, so
-groups of copies cost one row. Within a key, small groups are compared in
-full; in a large one each fingerprint that is not yet linked is compared once
-with those that are not linked either, which finds the same components without
-all pairs. Links are between different fingerprints; nothing is capped.
+groups of copies cost one row. Within a key, small groups take the chains pair
+by pair. In a large one the longest chain whose quota is one bit is a key too: a
+fingerprint meets those with the same chain and with each of its one-bit
+variants that are not linked yet, and the chains, then the full distance, decide
+again. That finds the same components without all pairs. Links are between
+different fingerprints; nothing is capped.
 
 Nulls and texts without words have fingerprint zero and link like any other.
 A null id never is the smallest of its component unless it is alone there.
@@ -20,6 +22,8 @@ Repeated rows each get a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -93,7 +97,12 @@ def add_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def equal_segments(distance: int) -> int:
     """The longest chain whose quota of differences is below one."""
-    return min(SEGMENTS, -(-SEGMENTS // max(distance, 1)) - 1 if distance else SEGMENTS)
+    return segments_within(distance, 0)
+
+
+def segments_within(distance: int, bits: int) -> int:
+    """The longest chain in which at most ``bits`` differences are within the quota."""
+    return min(SEGMENTS, -(-SEGMENTS * (bits + 1) // distance) - 1 if distance else SEGMENTS)
 
 
 def rotated(fp: np.ndarray, start: int | np.ndarray) -> np.ndarray:
@@ -112,6 +121,41 @@ def chain_passes(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return ok
 
 
+def _links_by_longer_chains(ring: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of links among turned rings, which agree in their lowest segments, enough to connect all that pass."""
+    low, high = WIDTH * equal_segments(distance), WIDTH * segments_within(distance, 1)
+    flips = [0, *(1 << bit for bit in range(low, high))]
+    chain = ring & np.uint64((1 << high) - 1)
+    order = np.argsort(chain, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(chain[order]) != 0])
+    waiting = dict(zip(chain[order][cut].tolist(), np.split(order, cut[1:])))
+    values = chain.tolist()
+    linked = np.zeros(len(ring), bool)
+    for first in range(len(ring)):
+        if linked[first]:
+            continue
+        linked[first], queue = True, [first]
+        while queue:
+            now = queue.pop()
+            for flip in flips:
+                value = values[now] ^ flip
+                others = waiting.get(value)
+                if others is None:
+                    continue
+                others = others[~linked[others]]
+                near = chain_passes(ring[others], ring[now], distance)
+                near[near] = np.bitwise_count(ring[others[near]] ^ ring[now]) <= distance
+                found, rest = others[near], others[~near]
+                if len(rest):
+                    waiting[value] = rest
+                else:
+                    del waiting[value]
+                if len(found):
+                    linked[found] = True
+                    queue.extend(found.tolist())
+                    yield np.full(len(found), now), found
+
+
 def links_in(start: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints that agree on the key of their start."""
     ring = rotated(fp, start)
@@ -132,16 +176,9 @@ def links_in(start: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarr
         near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= distance]
         left.append(fp[near]), right.append(fp[near + step])
     for g in np.flatnonzero(size > _SMALL):
-        waiting, queue = fp[head[g] : head[g] + size[g]], []
-        while len(waiting):
-            if queue:
-                now = queue.pop()
-            else:
-                now, waiting = waiting[0], waiting[1:]
-            near = np.bitwise_count(waiting ^ now) <= distance
-            found, waiting = waiting[near], waiting[~near]
-            left.append(np.full(len(found), now)), right.append(found)
-            queue.extend(found)
+        here = slice(head[g], head[g] + size[g])
+        for u, v in _links_by_longer_chains(ring[here], distance):
+            left.append(fp[here][u]), right.append(fp[here][v])
     if not left:
         return fp[:0], fp[:0]
     return np.concatenate(left), np.concatenate(right)

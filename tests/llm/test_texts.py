@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -148,6 +149,39 @@ def test_links_connect_what_brute_force_connects(spark):
     assert components([(r.u, r.v) for r in links]) == components(brute)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 5, 8])
+def test_large_groups_link_what_the_chains_pass(distance, monkeypatch):
+    """A key that many fingerprints share: components by the longer chains equal those of all pairs that pass."""
+    key = np.uint64(0xABCDE)
+    spread = np.arange(600, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    low = np.uint64((1 << simhash.WIDTH * simhash.equal_segments(distance)) - 1)
+    near = [spread[k % 300] ^ np.uint64(1 << (20 + k * 7 % 44)) ^ np.uint64(1 << (20 + k * 11 % 44)) for k in range(500)]
+    ring = np.unique(np.r_[spread[:300], np.array(near, np.uint64)] & ~low | key & low)
+    assert len(ring) > simhash._SMALL or distance < 2  # at 0 and 1 the key leaves room for few
+    compared, passes = [], simhash.chain_passes
+    monkeypatch.setattr(simhash, "chain_passes", lambda a, b, d: (compared.append(len(a)), passes(a, b, d))[1])
+    links = [(a, b) for u, v in simhash._links_by_longer_chains(ring, distance) for a, b in zip(u.tolist(), v.tolist())]
+    u, v = np.triu_indices(len(ring), 1)
+    ok = passes(ring[u], ring[v], distance) & (np.bitwise_count(ring[u] ^ ring[v]) <= distance)
+
+    def components(pairs):
+        parent = list(range(len(ring)))
+
+        def root(k):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+
+        for a, b in pairs:
+            parent[root(a)] = root(b)
+        return [root(k) == root(j) for k in range(len(ring)) for j in range(k)]
+
+    assert set(links) | {(b, a) for a, b in links} <= {p for a, b in zip(u[ok].tolist(), v[ok].tolist()) for p in ((a, b), (b, a))}
+    assert components(links) == components(zip(u[ok].tolist(), v[ok].tolist()))
+    if distance in (2, 3):
+        assert links and sum(compared) < len(u) / 4
+
+
 def test_base_phrases_against_a_word_scan(docs, sample, spark):
     more = [(3000, "All rights reserved; all RIGHTS reserved. cc-by CC BY", None), (3001, "allrights reserved accby", None), (3002, "Licensed undr the Apache Licence, version 2", None), (3003, "license license gnu genral public license", None), (3004, "cc by cc by", None)]
     got = by_id(notices.scan_notices(docs.unionByName(table(spark, more))))
