@@ -217,6 +217,11 @@ for _backend, _kernels in KERNELS.items():
 _register_resample("resample_cv2_area_shrink", "area", "cv2", 5, 6, "sql")
 _register_resample("resample_arrow_bilinear", "bilinear", "cv2", NEW_H, NEW_W, "arrow")
 _register_resample("resample_arrow_lanczos", "lanczos", "pillow", NEW_H, NEW_W, "arrow")
+for _backend, _kernels in KERNELS.items():
+    for _kernel in _kernels:
+        if (_backend, _kernel) not in (("cv2", "bilinear"), ("pillow", "lanczos")):  # the two above
+            _register_resample(f"resample_arrow_{_backend}_{_kernel}", _kernel, _backend, NEW_H, NEW_W, "arrow")
+_register_resample("resample_arrow_cv2_area_shrink", "area", "cv2", 5, 6, "arrow")
 
 
 @query(
