@@ -173,9 +173,16 @@ def _np_cubic(t: np.ndarray, a: float) -> np.ndarray:
 @lru_cache(maxsize=256)
 def weight_matrix(src: int, dst: int, interpolation: str, backend: str, shrinking: bool) -> np.ndarray:
     """Weights as a ``dst`` × ``src`` matrix."""
+    return weight_band(src, dst, 0, dst, 0, src, interpolation, backend, shrinking)
+
+
+def weight_band(
+    src: int, dst: int, first: int, last: int, lo: int, hi: int, interpolation: str, backend: str, shrinking: bool
+) -> np.ndarray:
+    """The weights of targets ``first`` .. ``last``, all of whose sources lie in ``lo`` .. ``hi``."""
     check_kernel(interpolation, backend)
     scale = src / dst
-    d, x = np.arange(dst)[:, None], np.arange(src)[None, :]
+    d, x = np.arange(first, last)[:, None], np.arange(lo, hi)[None, :]
     if interpolation == "nearest":
         shift = 0.0 if backend == "cv2" else 0.5
         return (x == np.minimum(np.floor((d + shift) * scale), src - 1)).astype(float)
@@ -209,7 +216,7 @@ def weight_matrix(src: int, dst: int, interpolation: str, backend: str, shrinkin
             if name == "bilinear":
                 at = np.maximum(at, 0)
             start = np.floor(at)
-        w = np.zeros((dst, src))
+        w = np.zeros((last - first, hi - lo))
         for k in NEIGHBOURS[name]:
             t = at - start - k
             weight = {

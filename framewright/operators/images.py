@@ -142,7 +142,7 @@ def _resample_arrow(images: DataFrame, interpolation: str, backend: str) -> Data
                 if not column[i].is_valid:
                     results.append(None)
                     continue
-                image = _as_numpy(column[i]).reshape(h, w * c)
+                image = pixel_numbers(column[i]).reshape(h, w * c)
                 both = h >= new_h and w >= new_w
                 rows = weight_matrix(h, new_h, interpolation, backend, both) @ image
                 columns = weight_matrix(w, new_w, interpolation, backend, both)
@@ -155,7 +155,7 @@ def _resample_arrow(images: DataFrame, interpolation: str, backend: str) -> Data
     return images.mapInArrow(resize, schema)
 
 
-def _as_numpy(pixels: pa.Scalar) -> np.ndarray:
+def pixel_numbers(pixels: pa.Scalar) -> np.ndarray:
     """Doubles from an array of doubles or from raw bytes."""
     if pa.types.is_binary(pixels.type) or pa.types.is_large_binary(pixels.type):
         return np.frombuffer(pixels.as_py(), np.uint8).astype(float)

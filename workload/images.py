@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.functions.kernels import CUBIC, KERNELS, SUPPORT
-from framewright.operators import images as I
+from framewright.operators import images as I, tiles as TI
 from framewright.session import shared_folder
 from framewright.sources.images import PIXEL_SCHEMA, scan_images, write_images
 from workload.registry import query, rounded, spread_table, sql_rounded as r
@@ -224,6 +224,20 @@ for _backend, _kernels in KERNELS.items():
 _register_resample("resample_arrow_cv2_area_shrink", "area", "cv2", 5, 6, "arrow")
 
 
+def _register_tiles(name: str, kernel: str, backend: str, h: int, w: int) -> None:
+    @query(name, f"WITH {_sql_resampled(GRAY, kernel, backend, h, w)} {OUT} out")
+    def run(spark, sf_dir):
+        """Images cut into tiles of 4 by 4 pixels, so that every kernel reaches over their edges."""
+        tiles = TI.resample_tiles(TI.cut_tiles(gray_images(spark, sf_dir), 4), h, w, kernel, backend, tile=4)
+        return TI.tile_pixels(tiles).withColumn("v", rounded(F.col("v")))
+
+
+for _backend, _kernels in KERNELS.items():
+    for _kernel in _kernels:
+        _register_tiles(f"resample_tiles_{_backend}_{_kernel}", _kernel, _backend, NEW_H, NEW_W)
+_register_tiles("resample_tiles_cv2_area_shrink", "area", "cv2", 5, 6)
+
+
 @query(
     "resize_scale_factors",
     f"SELECT vec_id AS image_id, {r(f'{NEW_W} / 8.0::DOUBLE')} AS w_scale, {r(f'{NEW_H} / 8.0::DOUBLE')} AS h_scale"
