@@ -112,6 +112,37 @@ def _best_pairs(q_ids, q, ids, c, k: int):
     return row[place < k], col[place < k], score[place < k]
 
 
+def best_of_task(batches, k: int, held_rows: int = 1 << 20):
+    """The k best distinct ids of each query among a task's pairs, before they are shuffled.
+
+    About ``held_rows`` pairs are held at a time; what cannot be made fewer is sent on.
+    """
+    held, n = [], 0
+
+    def best() -> pa.RecordBatch:
+        query, vec, score = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        for by_id in (True, False):  # each id once, with its best score; then the best ids
+            order = np.lexsort((-score, vec, query) if by_id else (vec, -score, query))
+            query, vec, score = query[order], vec[order], score[order]
+            if by_id:
+                keep = np.r_[True, (np.diff(query) != 0) | (np.diff(vec) != 0)][: len(query)]
+            else:
+                keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+            query, vec, score = query[keep], vec[keep], score[keep]
+        return pa.RecordBatch.from_pydict(_scored(query, vec, score))
+
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= held_rows:
+            held = [best()]
+            n = held[0].num_rows
+            if n > held_rows // 2:
+                yield held[0]
+                held, n = [], 0
+    if held:
+        yield best()
+
+
 def _scored(query, vec, score, **more) -> dict:
     return {"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())} | more
 
@@ -206,6 +237,7 @@ def nearest(
     kept_cells = placed.mapInArrow(keep, "leaf int, chunk int, body binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
     keys = ("leaf", "chunk", "part")
     found = asked_cells.groupBy(*keys).cogroup(kept_cells.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = found.mapInArrow(lambda batches: best_of_task(batches, k), found.schema)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -230,3 +230,24 @@ def test_a_long_conversation_is_read_turn_by_turn(spark):
     loss = "".join("<s>" * (i % 5) for i in range(1, 30_000, 2))
     assert (row["n_turns"], row["loss_chars"], row["in_order"]) == (30_000, len(loss), True)
     assert row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("held_rows", [1, 50, 1 << 20])
+def test_best_of_a_task(held_rows):
+    """Ties, ids given twice and every size of the buffer against sorting all pairs."""
+    n = np.arange(900)
+    query, vec, score = n * 7 % 13, n * 31 % 37, (n * 17 % 11).astype(float)
+    cut = [slice(i, i + 60) for i in range(0, 900, 60)] + [slice(0, 0)]
+    batches = [tree.pa.RecordBatch.from_pydict(tree._scored(query[c], vec[c], score[c])) for c in cut]
+    best = defaultdict(dict)
+    for q, v, s in zip(query.tolist(), vec.tolist(), score.tolist()):
+        best[q][v] = max(s, best[q].get(v, -math.inf))
+    want = {q: sorted(found.items(), key=lambda vs: (-vs[1], vs[0]))[:5] for q, found in best.items()}
+    left = list(tree.best_of_task(batches, 5, held_rows))
+    sent = [tuple(r.values()) for b in left for r in b.to_pylist()]
+    again = list(tree.best_of_task(left, 5))[0].to_pylist()
+    assert len(sent) <= 900 and (held_rows < 900 or len(sent) == 5 * len(want))
+    for q in want:
+        assert [(r["vec_id"], r["score"]) for r in again if r["query_id"] == q] == want[q]
+    assert list(tree.best_of_task([], 5)) == []
+    assert [b.num_rows for b in tree.best_of_task([batches[-1]], 5)] == [0]
