@@ -124,6 +124,21 @@ def test_small_strips_give_the_same_scores(spark, monkeypatch):
     assert (topk.completed(q, c, row, col) == (q @ c.T).ravel()).all()
 
 
+def test_repeated_rows_count_each_and_scores_are_exact_beyond_doubles(spark):
+    big = [(i, [1e6 + i % 7, 1e6 / (1 + i % 5), -1e6 + 0.001 * i, 3.0], "c") for i in range(210)]
+    rows = big + [r for r in big if r[0] % 37 == 18 or r[0] == 100] + [(55, [2e6, 1.0, 0.0, 0.0], "c")] * 13 + [(400, None, "c"), (None, [9e6] * 4, "c")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows if i is not None and v]
+    want = []
+    for query in (0, 100, 200):
+        scores = [(-sum(a * b for a, b in zip(v, w)), i) for q, v in whole if q == query for i, w in whole if i != query]
+        want += [(query, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:10])]
+    assert any(float(a[3]) != a[3] or a[3] > 2**53 for a in want) and len({a[2] for a in want if a[0] == 0}) < 10
+    for blocks in ({}, {"query_block": 2, "vector_block": 20}):
+        got = topk.top_k(df, df.where("vec_id % 100 = 0"), repeats=True, **blocks)
+        assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+
+
 def test_few_candidates_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], "c"), (100, [-1.0, 2.0], "c"), (7, [-5.0, 0.0], "c")], SCHEMA)
     rows = sorted(tuple(r) for r in topk.top_k(few, few.where("vec_id % 100 = 0")).collect())
