@@ -229,3 +229,25 @@ def test_names_parse_by_one_pattern_run(spark):
     assert got[90] == (None, None, None, None)
     plan = R.parse_layer_name(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_replace") == 1 and "regexp_extract" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_reports_stream_through_python_without_a_queue(spark):
+    """A column function's rows wait in a queue, on disk at last, while the next steps are slower than Python."""
+    docs = spark.createDataFrame(IRREGULAR, "path string, html string")
+    for rows in (R.table_cells(docs), R.table_cells(docs, unescape=False), R.extract_table_rows(docs), R.layer_rows(docs)):
+        assert "ArrowEvalPython" not in _plan(rows) and _plan(rows).count("MapInArrow") == 1
+
+
+def test_rows_of_both_kinds_of_documents_keep_their_keys_and_numbers(spark):
+    odd, regular = "<tr><td>a<td>b<tr><td>c", "<tr><td>d</td></tr><tr></tr>"
+    docs = spark.createDataFrame([(k, f"k{k}", [regular, odd, None, "", "no row"][k % 5]) for k in range(50)], "a int, b string, html string")
+    want = []
+    for k in range(50):
+        want += [[(k, f"k{k}", 0, ["d"]), (k, f"k{k}", 1, [])], [(k, f"k{k}", 0, ["abc", "bc", "c"]), (k, f"k{k}", 1, ["c"])], [], [], []][k % 5]
+    assert sorted(map(tuple, R.table_cells(docs.coalesce(1), ["a", "b"]).collect())) == want
+    rows = R.extract_table_rows(docs.coalesce(1), ["a", "b"])
+    assert sorted(map(tuple, R.extract_row_cells(rows).collect())) == want
