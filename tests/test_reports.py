@@ -251,3 +251,18 @@ def test_rows_of_both_kinds_of_documents_keep_their_keys_and_numbers(spark):
     assert sorted(map(tuple, R.table_cells(docs.coalesce(1), ["a", "b"]).collect())) == want
     rows = R.extract_table_rows(docs.coalesce(1), ["a", "b"])
     assert sorted(map(tuple, R.extract_row_cells(rows).collect())) == want
+
+
+def test_simple_markup_is_read_as_by_the_parser():
+    bits = ['<tr>', '</tr>', '<td>', '</td>', '<TD>', '<td class="a b">', '<br>', '<b>', '</b>', 'x', '1 ', '\n', '<table>', '</table>']
+    bits += ['</p>', '>', '<td/>', "<p a='1'>", '<!-- <td> -->', '&amp;', '<title>', '</td >', '</tr a="b">', '\0', '<']
+    simple = 0
+    for k in range(4000):
+        text = "".join(bits[(k * 7919 + j * j * 31 + j * k) % (len(bits) if k % 3 == 0 else 16)] for j in range(k % 17))
+        for row, cell in (("tr", "td"), ("table", "tr"), ("td", "td")):
+            reader = R._CellReader(row, cell)
+            reader.read(text)
+            found = R._simple_cells(text, row, cell)
+            assert found is None or found == reader.cells(), text
+            simple += found is not None
+    assert simple > 6000 and R._simple_cells("<tr><td>a<script><td></script>", "tr", "td") is None
