@@ -266,3 +266,55 @@ def test_simple_markup_is_read_as_by_the_parser():
             assert found is None or found == reader.cells(), text
             simple += found is not None
     assert simple > 6000 and R._simple_cells("<tr><td>a<script><td></script>", "tr", "td") is None
+
+
+def _wide_by_pivot(rows, group, order):
+    latest = F.max_by(F.struct("Name", *R.METRIC_CELLS), F.struct(*order))
+    wide = rows.groupBy(*group, R.COMMON_NAME).pivot("layer", [str(i) for i in R.LAYERS]).agg(latest)
+    parts = [F.col(f"`{i}`")[p].alias(f"Layer {i} {p}") for i in R.LAYERS for p in ("Name", *R.METRIC_CELLS)]
+    return sorted(map(repr, wide.select(*group, R.COMMON_NAME, *parts).collect()))
+
+
+def test_wide_report_of_odd_values_is_what_a_pivot_gives(spark):
+    odd = ["7", None, "", "\0", "\x01", "\x01n", "\x01p3", "a\0\x01a\0b", "x\x01\0"]
+    names = [
+        ("e_layers_{}_attentions_0.k", "e_layers__attentions_0.k"),
+        ("e_layers_{}_attentions_0_layers_{}_attentions_0", "e_layers_{}_attentions_0_layers__attentions_0"),
+        ("layers_{}_attentions_0", "layers__attentions_0"), ("other", "e"), (None, "e"), ("\x01p3", "e"), ("né_layers_{}_attentions_0", None),
+    ]
+    rows = []
+    for k in range(900):
+        (name, common), layer = names[k % 7], str(k * 13 % 41 % 7)
+        cells = [odd[(k + j * (k % 5)) % 9] for j in range(3)]
+        rows.append((f"p{k % 4}" if k % 11 else None, k, layer if k % 17 else None, common and common.replace("{}", layer), name and name.replace("{}", layer), *cells))
+    kind = "path string, row_no int, layer string, `Common Layer Name` string, Name string, `Cosine Similarity` string, SQNR string, MSE string"
+    rows = spark.createDataFrame(rows, kind).repartition(3)
+    number = F.col("row_no")
+    for order in (number, F.when(number == 899, float("nan")).otherwise(number / 7), F.array("row_no"), F.when(number > 0, -number)):
+        own = rows.withColumn("row_no", order)
+        for group, by in ((["path"], ["row_no"]), ([], ["path", "row_no"])):
+            got = sorted(map(repr, R.layer_wide_report(own, group, by).collect()))
+            assert got == _wide_by_pivot(own, group, by)
+    numbers = rows.withColumn("MSE", F.col("row_no") / 2)
+    assert sorted(map(repr, R.layer_wide_report(numbers).collect())) == _wide_by_pivot(numbers, ["path"], ["row_no"])
+
+
+def test_rows_of_a_wide_report_are_put_together_before_they_are_sorted(spark):
+    rows = spark.range(3000).selectExpr(
+        "'p' path", "cast(id as int) row_no", "cast(id % 3 as string) layer", "'c' `Common Layer Name`",
+        "'n' Name", "'a' `Cosine Similarity`", "'b' SQNR", "'c' MSE").coalesce(1)
+    plan = _plan(R.layer_wide_report(rows))
+    assert plan.count("MapInArrow") == 1 and plan.rindex("SortAggregate") < plan.index("MapInArrow")
+    marked = rows.selectExpr("path", "cast(layer as int) + 1 _layer", "struct(struct(row_no) `order`, Name `values`) _row")
+    put = R._rows_put_together(marked, ["a", "b", "c"]).collect()
+    assert len(put) == 1 and [put[0][c]["order"]["row_no"] for c in "abc"] == [2997, 2998, 2999]
+
+
+def test_cells_that_every_layer_reads_are_stored_packed(spark, tmp_path, monkeypatch):
+    from framewright import session
+    from workload.reports import q_union_layers
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    q_union_layers(spark, "/root/testdata/sf0.001")
+    stored = list(tmp_path.glob("framewright/cells-*/*.parquet"))
+    assert stored and all(f.name.endswith(".zstd.parquet") for f in stored)
