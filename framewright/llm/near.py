@@ -1,11 +1,14 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-Candidates come from MinHash signatures: texts that agree on all ``ROWS``
-values of one of ``BANDS`` bands. No candidate is believed: only an exact
-similarity of the shingle sets of at least ``least`` is a link. At a similarity
-of 0.8 a pair shares no band with a probability of about 5 in a million, above
-it with less; that is the only way to miss one. (SimHash cannot serve here:
-such pairs differ in more bits than pigeonring can use as a key.)
+Candidates come from two searches. One is that of ``simhash``: fingerprints
+within ``distance`` bits, found with pigeonring; texts of one fingerprint meet
+the first of them, and the first ones meet along the links. Pairs at 0.8 mostly
+differ in more bits than pigeonring can use as a key, so MinHash signatures add
+those that agree on all ``ROWS`` values of one of ``BANDS`` bands. No candidate
+is believed: only an exact similarity of the shingle sets of at least ``least``
+is a link. At a similarity of 0.8 a pair shares no band with a probability of
+about 5 in a million, above it with less; such a pair is missed if the
+fingerprints do not bring it either.
 
 Equal texts are one node, told by their SHA-256. A node's number is a 64-bit
 hash of that; texts that share a number with another are given new ones until
@@ -23,11 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from framewright.llm.blobs import pieces
 from framewright.llm.components import connected_components
-from framewright.llm.simhash import shingle_hashes
+from framewright.llm.simhash import fingerprints, near_links, shingle_hashes
 from framewright.session import materialize
 
 BANDS, ROWS = 40, 6
 BLOCK = 500_000  # shingles of a block
+FINGERPRINT_SIZE, DISTANCE = 3, 3  # words of a shingle, and bits, of the SimHash search
 _WORDS_AT_ONCE = 1 << 17
 _ROUNDING = 1e-9
 
@@ -143,13 +147,26 @@ def _numbered(prints: DataFrame, label: str) -> DataFrame:
         prints = prints.join(clash.select("_node", "_low"), "_node", "left").withColumn("_node", anew).drop("_low")
 
 
+def fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs ``u``, ``v`` of ``_node`` whose ``_fp`` are equal or within the distance, enough to connect all that are."""
+    first = nodes.groupBy("_fp").agg(F.min("_node").alias("_low"))
+    equal = nodes.join(first, "_fp").where("_node <> _low").select(F.col("_low").alias("u"), F.col("_node").alias("v"))
+    a, b = (first.select(F.col("_fp").alias(f"_fp_{x}"), F.col("_low").alias(x)) for x in "uv")
+    links = near_links(first, distance).select(F.col("u").alias("_fp_u"), F.col("v").alias("_fp_v"))
+    near = links.join(a, "_fp_u").join(b, "_fp_v")
+    return equal.union(near.select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, block: int = BLOCK) -> DataFrame:
     """``_sha``, ``_id``, ``_least`` of every row: its text's digest, its id, and the smallest id it is connected to."""
 
     def key(batches):
         for batch in pieces(batches, "_text", 8 << 20):
-            keys = band_keys(batch.column(0).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_sha", "_keys"])
+            texts = batch.column(0).to_pylist()
+            keys, prints = band_keys(texts, size), fingerprints(texts, FINGERPRINT_SIZE).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(keys, pa.list_(pa.int64())), pa.array(prints)], names=["_id", "_sha", "_keys", "_fp"]
+            )
 
     def cut(batches):
         for batch in pieces(batches, "_text", 8 << 20):
@@ -165,17 +182,20 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("_id"), _digest(text).alias("_sha"))
-    prints = _numbered(source.mapInArrow(key, f"_id {kind}, _sha string, _keys array<long>"), "bands")
-    nodes = prints.groupBy("_node").agg(F.min("_id").alias("_first"), F.first("_keys").alias("_keys"))
+    prints = _numbered(source.mapInArrow(key, f"_id {kind}, _sha string, _keys array<long>, _fp long"), "bands")
+    nodes = prints.groupBy("_node").agg(F.min("_id").alias("_first"), F.first("_keys").alias("_keys"), F.first("_fp").alias("_fp"))
+    worded = nodes.where(F.size("_keys") > 0).select("_node", "_fp")  # texts without words are linked to equal ones only
+    alike = materialize(fingerprint_pairs(worded, DISTANCE), "alike")
     keyed = nodes.select(F.col("_node").alias("node"), F.explode("_keys").alias("key"))
     many = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     shared = materialize(keyed.join(many, "key"), "shared")
 
-    involved = shared.select(F.col("node").alias("_node")).distinct().join(prints, "_node").groupBy("_node").agg(F.min("_id").alias("_first"), F.first("_sha").alias("_key"))
+    meeting = shared.select("node").union(alike.select("u")).union(alike.select("v"))
+    involved = meeting.select(F.col("node").alias("_node")).distinct().join(prints, "_node").groupBy("_node").agg(F.min("_id").alias("_first"), F.first("_sha").alias("_key"))
     one = source.join(involved, (source["_sha"] == involved["_key"]) & source["_id"].eqNullSafe(involved["_first"])).select("_text", "_node")
     sets = materialize(one.mapInArrow(cut, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-    pairs = shared.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = shared.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).union(alike).distinct()
     labels = materialize(_roots(sets.select("node", F.size("shingles").alias("n")), _verified(pairs, sets, least), "node", "label"), "labels")
 
     told = shared.select("key", "node").join(labels, "node")

@@ -114,3 +114,24 @@ def test_odd_rows(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(4, None), (3, "a b c d e f g"), (3, "a b c d e f g"), (3, "other words with this id"), (7, ""), (8, " "), (None, "alone here")]))
     assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_fingerprints_bring_candidates_that_no_band_has(spark):
+    """Texts of one phrase said often and some words of their own: equal SimHash bits, and 0.4 of the shingles shared."""
+    rng, texts = Draw(6), {}
+    for group in range(12):
+        phrase = " ".join(f"p{rng.below(10**6)}" for _ in range(21))
+        for k in range(2):
+            texts[2 * group + k] = " ".join([phrase] * 200 + [f"w{rng.below(10**6)}" for _ in range(13)])
+    assert all(0.3 < _similarity(texts[2 * k], texts[2 * k + 1]) < 0.5 for k in range(12))
+    keys = near.band_keys([texts[k] for k in range(24)], 5)
+    assert sum(not np.intersect1d(keys[2 * k], keys[2 * k + 1]).size for k in range(12)) > 6
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["_id"]: r["_least"] for r in near.near_copies(docs, least=0.3).collect()}
+    assert got == {k: k - k % 2 for k in range(24)}
+
+
+def test_fingerprint_pairs_connect_equal_and_near_ones(spark):
+    fp = [(1, 0b1), (2, 0b1), (3, 0b1111), (4, 0b1111111), (5, -1), (6, -1), (7, 1 << 40)]
+    got = {tuple(r) for r in near.fingerprint_pairs(spark.createDataFrame(fp, "_node long, _fp long"), 3).collect()}
+    assert {(1, 2), (5, 6), (1, 3), (3, 4), (1, 7)} <= got and all((a < 5 or a == 7) == (b < 5 or b == 7) for a, b in got)
