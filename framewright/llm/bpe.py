@@ -18,7 +18,8 @@ with it. If no rule is left, the tokens before the place are stable.
 So a word of any length is encoded with a bounded buffer: every few symbols,
 merge, emit what is stable, go on; the general bound is for the places that the
 context leaves open. Every word takes this way; those that fit into the buffer
-are remembered in a bounded table. A text is encoded in stretches cut at single
+are remembered in a bounded table, as are the looks at what is stable and the ends
+of words, which many words share. A text is encoded in stretches cut at single
 spaces, and each one's ids go to the digest and the decoder and are dropped. The
 decoder turns ids into bytes and feeds them to an incremental UTF-8 machine,
 which holds back the bytes of an unfinished character.
@@ -34,7 +35,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import pyarrow as pa
 import regex
@@ -49,6 +50,8 @@ _NO_RULE = 1 << 60
 _STEP = 8
 #: characters in a stretch of a text; it ends before the next single space
 _STRETCH = 1 << 16
+#: longest buffer whose look or end is remembered
+_SHARED = 4 * _STEP
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: characters for which Python's own splitting and lower case agree with the tokenizer file's rules
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
@@ -80,6 +83,24 @@ def sufficient_lookahead(rules: list[tuple[str, str]], length) -> int:
     return most
 
 
+class _Recent:
+    """What was last computed by key, at most ``size`` of it: a key that is used again outlives those that are not."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.older = size // 2, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.older, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Transducer:
     """The merge list of one tokenizer file."""
 
@@ -117,7 +138,9 @@ class Transducer:
         whole = lambda i, t: t.encode() if self.joined_by_space or i in special_ids else bytes(value[c] for c in t)
         self.bytes_of = [whole(i, surfaces[i]) if i in surfaces else b"" for i in range(max(surfaces) + 1)]
         self.decimal = [str(i).encode() for i in range(len(self.bytes_of))]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Recent(_REMEMBERED)
+        self.looks, self.ends = _Recent(_REMEMBERED // 4), _Recent(_REMEMBERED // 4)
+        self.foreign = re.compile(f"[^{re.escape(''.join(t for t in self.vocab if len(t) == 1))}]")
 
     def merged(self, ids: list[int], spine: list[tuple[int, int]] | None = None) -> list[int]:
         """The merge list applied in place: always the lowest rank, the leftmost of equal ones.
@@ -126,14 +149,15 @@ class Transducer:
         rank that was applied while it was there; the one that stays has no bound.
         """
         get, product = self.rank.get, self.product
-        ranks = [get(pair, _NO_RULE) for pair in zip(ids, ids[1:])]
+        ranks = list(map(get, zip(ids, ids[1:]), repeat(_NO_RULE)))
         tail, highest = ids[-1] if ids else None, -1
         while ranks:
             best = min(ranks)
             if best == _NO_RULE:
                 break
             at = ranks.index(best)
-            highest = max(highest, best)
+            if best > highest:
+                highest = best
             new = ids[at] = product[best]
             del ids[at + 1], ranks[at]
             if at:
@@ -179,50 +203,76 @@ class Transducer:
 
     def word_ids(self, symbols: Iterable[str]) -> Iterator[int]:
         """Tokens of one word, each as soon as it is seen to be stable. The buffer never passes ``window`` symbols."""
-        symbols = iter(symbols)
-        vocab, buffer, spelled, due = self.vocab, [], [], _STEP
-        last = next(symbols, None)  # held back: only the end of the word tells whether it takes the suffix
-        for symbol in symbols:
-            if last in vocab:
-                buffer.append(vocab[last])
-                spelled.append(last)
-            last = symbol
-            if len(buffer) >= due:
-                stable = self._stable(buffer, "".join(spelled))
-                used = sum(map(self.symbols.__getitem__, stable))
-                yield from stable
-                del buffer[:used], spelled[:used]
-                due = min(len(buffer) + _STEP, max(self.window, len(buffer) + 1))
-        if last is not None:
-            end = last + self.suffix
-            yield from self.merged(buffer + ([vocab[end]] if end in vocab else []))
+        # an ordinary word is read from where it lies; the last symbol is held back: only the end of the word tells whether it takes the suffix
+        ordinary = isinstance(symbols, str) and len(symbols) < self.window
+        rest, spelled, due = iter(symbols), "", _STEP
+        if ordinary and not self.foreign.search(symbols):
+            rest, spelled = iter(()), symbols
+        while True:
+            while len(spelled) <= due and (read := "".join(islice(rest, due + 1 - len(spelled)))):
+                spelled += read
+                spelled = self.foreign.sub("", spelled[:-1]) + spelled[-1]
+            if len(spelled) <= due:
+                break
+            stable, used = self._look(spelled[:due])
+            yield from stable
+            spelled = spelled[used:]
+            due = min(due - used + _STEP, max(self.window, due - used + 1))
+        if spelled:
+            yield from self._end(spelled)
+
+    def _look(self, spelled: str) -> tuple[tuple[int, ...], int]:
+        """The stable tokens at the start of the symbols, and how many symbols they take."""
+        found = self.looks.get(spelled)
+        if found is None:
+            stable = self._stable([self.vocab[s] for s in spelled], spelled)
+            found = tuple(stable), sum(map(self.symbols.__getitem__, stable))
+            if len(spelled) <= _SHARED:
+                self.looks.put(spelled, found)
+        return found
+
+    def _end(self, spelled: str) -> tuple[int, ...]:
+        """The tokens of a word's last symbols."""
+        found = self.ends.get(spelled)
+        if found is None:
+            ids, end = [self.vocab[s] for s in spelled[:-1]], spelled[-1] + self.suffix
+            found = tuple(self.merged(ids + [self.vocab[end]] if end in self.vocab else ids))
+            if len(spelled) <= _SHARED:
+                self.ends.put(spelled, found)
+        return found
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a stretch without white space, in normal form; a word in it may be known by itself."""
         known, ids = self.known, []
-        for word in self.pattern.findall(chunk):
+        words = self.pattern.findall(chunk)
+        for word in words:
             found = known.get(word)
             if found is None:
-                spelled = word.encode().decode("latin-1").translate(self.table)
+                # a printable ASCII character stands for its own byte
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
                 found = tuple(self.word_ids(spelled))
-                if len(spelled) < self.window and len(known) < _REMEMBERED:
-                    known[word] = found
+                if len(spelled) < self.window:
+                    known.put(word, found)
             ids.extend(found)
-        return tuple(ids)
+        found = tuple(ids)
+        if len(words) != 1 and len(chunk) < self.window:
+            known.put(chunk, found)
+        return found
 
     def _plain(self, text: str) -> list[int]:
         """Ids of a text whose white space separates words in every rule of the file."""
-        known = self.known
         chunks = (text.lower() if self.lower else text).split()
-        new = {c: self._chunk(c) for c in set(chunks).difference(known)}
-        if len(known) + len(new) > _REMEMBERED:
-            out = list(chain.from_iterable(new[c] if c in new else known[c] for c in chunks))
-            known.clear()
-            return out
-        known.update((c, ids) for c, ids in new.items() if len(c) < self.window)
-        if len(new) and any(len(c) >= self.window for c in new):
-            return list(chain.from_iterable(new[c] if c in new else known[c] for c in chunks))
-        return list(chain.from_iterable(map(known.__getitem__, chunks)))
+        found = list(map(self.known.young.get, chunks))
+        if None in found:
+            here: dict[str, tuple[int, ...]] = {}
+            for k, ids in enumerate(found):
+                if ids is None:
+                    chunk = chunks[k]
+                    ids = here.get(chunk)
+                    if ids is None:
+                        ids = here[chunk] = self.known.get(chunk) or self._chunk(chunk)
+                    found[k] = ids
+        return list(chain.from_iterable(found))
 
     def _any(self, text: str) -> list[int]:
         normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
@@ -256,10 +306,10 @@ class Transducer:
     def decode(self, stretches: Iterable[list[int]], at_once: int = 1 << 14) -> Iterator[str]:
         """The text of the ids in pieces."""
         machine, between = codecs.getincrementaldecoder("utf-8")("replace"), b" " if self.joined_by_space else b""
-        begun = False
+        begun, bytes_of = False, self.bytes_of
         for ids in stretches:
             for lo in range(0, len(ids), at_once):
-                raw = between.join(map(self.bytes_of.__getitem__, ids[lo : lo + at_once]))
+                raw = between.join([bytes_of[i] for i in ids[lo : lo + at_once]])
                 yield machine.decode((between if begun else b"") + raw)
                 begun = True
         yield machine.decode(b"", final=True)
@@ -276,6 +326,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches):
         t = transducer(path)
+        decimal = t.decimal
         for batch in pieces(batches, "_text", 4 << 20):
             n, digest, decoded, lists = [], [], [], []
             for value in batch.column(0).to_pylist():
@@ -285,7 +336,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                     nonlocal count
                     for found in t.stream(value or ""):
                         if found:
-                            numbers.update((b" " if count else b"") + b" ".join(map(t.decimal.__getitem__, found)))
+                            numbers.update((b" " if count else b"") + b" ".join([decimal[i] for i in found]))
                             count += len(found)
                         if ids:
                             kept.extend(found)

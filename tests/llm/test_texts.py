@@ -291,6 +291,26 @@ def test_ordinary_words_are_emitted_before_they_end():
     assert early >= len(words) // 2
 
 
+def test_words_in_use_are_not_encoded_again(monkeypatch):
+    """A full table drops what was not used lately; words of every text stay, and the ids are the library's."""
+    monkeypatch.setattr(bpe, "_REMEMBERED", 80)
+    t, asked = bpe.Transducer(public_tokenizers.path("word_bpe_49k.json")), []
+    chunk = t._chunk
+    monkeypatch.setattr(t, "_chunk", lambda c: asked.append(c) or chunk(c))
+    for k in range(60):
+        text = " ".join(f"common straße {chr(97 + k % 26)}{'qxzj'[k % 4] * (k % 12 + 1)}{chr(97 + i)}word incomprehensibilities" for i in range(5))
+        assert t.encode(text) == t.library.encode(text, add_special_tokens=False).ids
+    assert asked.count("common") == asked.count("straße") == 1 and len(asked) > 150
+    for table in (t.known, t.looks, t.ends):
+        assert len(table.young) <= table.half and len(table.older) <= table.half
+
+
+def test_words_as_text_and_as_symbols_give_the_same_ids():
+    t = bpe.transducer(public_tokenizers.path("word_bpe_49k.json"))
+    for word in ("a", "incomprehensibility", "straße", "thtionblendednahaverkeit", "ab" * 349, "ab" * 350, "ab" * 351, "\u4e2d", "one\u4e2dtwo", "wohnungs\u4e2d"):
+        assert list(t.word_ids(word)) == list(t.word_ids(iter(word)))
+
+
 def test_emitted_tokens_hold_for_every_continuation():
     t = bpe.transducer(public_tokenizers.path("word_bpe_49k.json"))
     state, checked = 7, 0
