@@ -1,10 +1,12 @@
 import re
 from html import unescape
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from framewright.functions import cells as C
 from framewright.functions import html as H
 from framewright.operators import reports as R
 from framewright.plans import layer_reports
@@ -318,3 +320,55 @@ def test_cells_that_every_layer_reads_are_stored_packed(spark, tmp_path, monkeyp
     q_union_layers(spark, "/root/testdata/sf0.001")
     stored = list(tmp_path.glob("framewright/cells-*/*.parquet"))
     assert stored and all(f.name.endswith(".zstd.parquet") for f in stored)
+
+
+BITS = ["<tr>", "</tr>", "<td>", "</td>", "<TD a='x\"'>", '<td title="a>b">', "<b>", "</b>", "x", " 1 ", "\n", "&nbsp;", "&amp;", "&lt;", "3 < 4", "it's", "é",
+        "　", '"', ">", "<!-- <td> -->", '<a title="8 > 4">', "&eacute;", "&", "<", "<br/>", "<td/>", "</td >", "</tr x>", "<!-->", "<!--", "-->", '<a title="<td>">',
+        "<a b='<!-- x'>", "<script>if(a<b)'</td>'</script>", "<STYLE x>", "</style >", "<styled>", "\0", "<tré>", "<td:x>", "<table>", "</table>", "<?x?>", "</>", "<td", "<tr"]
+
+
+def _mixed_markup(k: int) -> str:
+    if k % 3 == 0:
+        return "".join(BITS[(k * 7919 + j * j * 31 + j * k) % len(BITS)] for j in range(k % 17))
+    bits = BITS[6:22] if k % 3 == 1 else BITS[6:]
+    cell = lambda j: "".join(bits[(k * 31 + j * 17 + i * (k % 13 + 1)) % len(bits)] for i in range((k + j) % 4))
+    row = lambda j: ["<tr>", "<TR class='x'>"][j % 2] + "".join(f"<td{' a=1' * (c % 2)}>{cell(j + c)}</td>" for c in range((k + j) % 4)) + "</tr>"
+    return "<table>" + "\n".join(row(j) for j in range(k % 5))
+
+
+def test_cells_cut_from_many_documents_are_those_of_each_document(monkeypatch):
+    texts = [None if k % 97 == 0 else _mixed_markup(k) for k in range(1500)]
+    column = pa.chunked_array([pa.array(["<tr><td>before</td></tr>", *texts])]).chunk(0).slice(1)
+    single = C.regular_cells
+    alone = []
+    monkeypatch.setattr(C, "regular_cells", lambda text, *tags: alone.append(text) or single(text, *tags))
+    for stretch in (1 << 20, 500):
+        monkeypatch.setattr(C, "_STRETCH", stretch)
+        for row_tag, cell_tag in (("tr", "td"), ("table", "tr"), ("TD", "b")):
+            for unescape in (True, False):
+                alone.clear()
+                found = {}
+                for at, row_no, cells in C.cells_of_documents(column, row_tag, cell_tag, unescape, lambda t: R._nested_cells(t, row_tag, cell_tag)):
+                    for k, n, row in zip(at.to_pylist(), row_no.to_pylist(), cells.to_pylist()):
+                        found.setdefault(k, []).append(row)
+                        assert n == len(found[k]) - 1
+                assert row_tag != "tr" or 0 < len(alone) < 1000
+                for k, text in enumerate(texts):
+                    rows = single(text or "", row_tag, cell_tag, unescape)
+                    assert found.get(k, []) == (R._nested_cells(text, row_tag, cell_tag) if rows is None else rows), text
+
+
+def test_reports_with_comments_quotes_and_references_are_not_read_one_by_one(spark, monkeypatch):
+    html = "<html><!-- <tr><td>no</td></tr> --><table class='q'><tr><th>n</th></tr><tr><td>\n <b>x</b>&nbsp;</td><td><a title=\"8 > 4\">a &amp; b</a></td></tr></table>"
+    monkeypatch.setattr(C, "regular_cells", None)
+    found = [*C.cells_of_documents(pa.array([html, None, html]), "tr", "td", True, None)]
+    assert [(a.to_pylist(), n.to_pylist(), c.to_pylist()) for a, n, c in found] == [([0, 0, 2, 2], [0, 1, 0, 1], [[], ["x", "a & b"]] * 2)]
+    plan = _plan(R.table_cells(spark.createDataFrame([("a", html)], "path string, html string")))
+    assert "regexp" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_documents_that_are_not_text_are_read_with_replaced_characters():
+    raw = pa.array([b"<tr><td>a</td></tr>", b"<tr><td>\xff b</td></tr>"], pa.binary())
+    docs = pa.Array.from_buffers(pa.string(), 2, raw.buffers())
+    found = [row for _, _, cells in C.cells_of_documents(docs, "tr", "td", True, None) for row in cells.to_pylist()]
+    assert found == [["a"], ["� b"]]
