@@ -372,3 +372,18 @@ def test_documents_that_are_not_text_are_read_with_replaced_characters():
     docs = pa.Array.from_buffers(pa.string(), 2, raw.buffers())
     found = [row for _, _, cells in C.cells_of_documents(docs, "tr", "td", True, None) for row in cells.to_pylist()]
     assert found == [["a"], ["� b"]]
+
+
+def test_ordered_columns_query_keeps_the_columns_of_every_layer(spark):
+    from workload.reports import q_ordered_columns
+
+    report = q_ordered_columns(spark, "/root/testdata/sf0.001")
+    assert report.columns == [R.COMMON_NAME, *R.layer_columns()] and len(report.columns) == 21
+    filled = report.agg(*[F.count(f"`Layer {i} MSE`") for i in R.LAYERS]).first()
+    assert all(filled)
+
+
+def test_ordered_columns_fills_up_and_drops(spark):
+    report = spark.createDataFrame([("c", "n", "z")], f"`{R.COMMON_NAME}` string, `Layer 1 Name` string, other string")
+    row = R.ordered_columns(report, layers=(0, 1)).first().asDict()
+    assert [*row] == [R.COMMON_NAME, *R.layer_columns((0, 1))] and row["Layer 1 Name"] == "n" and row["Layer 0 SQNR"] is None
