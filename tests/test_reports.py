@@ -387,3 +387,32 @@ def test_ordered_columns_fills_up_and_drops(spark):
     report = spark.createDataFrame([("c", "n", "z")], f"`{R.COMMON_NAME}` string, `Layer 1 Name` string, other string")
     row = R.ordered_columns(report, layers=(0, 1)).first().asDict()
     assert [*row] == [R.COMMON_NAME, *R.layer_columns((0, 1))] and row["Layer 1 Name"] == "n" and row["Layer 0 SQNR"] is None
+
+
+def test_packed_values_of_a_wide_report_are_split_once_a_layer(spark):
+    docs = spark.createDataFrame([("r1", table_html())], "path string, html string")
+    for group, order in ((["path"], ["row_no"]), ([], ["path", "row_no"])):
+        plan = R.layer_wide_report(R.layer_rows(docs), group, order)._jdf.queryExecution().optimizedPlan().toString()
+        wide = plan[: plan.index("MapInArrow")]
+        assert wide.count("split(") == len(R.LAYERS)
+
+
+def test_rows_are_put_together_by_the_last_of_any_order(spark):
+    import datetime
+    from decimal import Decimal
+
+    orders = {
+        "double": [1.5, None, float("nan"), -2.0, 9.0], "string": ["b", None, "é", "a", ""], "boolean": [True, None, False, False, True],
+        "date": [datetime.date(2020, 1, k + 1) if k else None for k in range(5)], "decimal(9,2)": [Decimal(k) / 4 - 1 for k in range(5)], "binary": [b"a", None, b"\xff", b"", b"b"],
+    }
+    for kind, values in orders.items():
+        rows = [(f"g{k % 3}" if k % 7 else None, k % 3 + 1 if k % 4 else None, (((k * 11) % 5, values[k * 3 % 5]), f"v{k}")) for k in range(60)]
+        df = spark.createDataFrame(rows, f"g string, _layer int, _row struct<`order`:struct<a:int,b:{kind}>,v:string>").coalesce(1)
+        put = {r.g: [r[c] and r[c].v for c in "abc"] for r in R._rows_put_together(df, ["a", "b", "c"]).collect()}
+        rank = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+        want = {}
+        for g, layer, ((a, b), v) in rows:
+            held = want.setdefault(g, [None] * 3)
+            if layer and (held[layer - 1] is None or held[layer - 1][0] <= (a, rank(b))):
+                held[layer - 1] = ((a, rank(b)), v)
+        assert put == {g: [h and h[1] for h in held] for g, held in want.items()}
