@@ -416,3 +416,7 @@ def test_rows_are_put_together_by_the_last_of_any_order(spark):
             if layer and (held[layer - 1] is None or held[layer - 1][0] <= (a, rank(b))):
                 held[layer - 1] = ((a, rank(b)), v)
         assert put == {g: [h and h[1] for h in held] for g, held in want.items()}
+
+
+def test_long_report_asks_every_name_without_a_lambda(cells):
+    assert "lambda" not in _plan(R.layer_long_report(cells)) and "lambda" not in _plan(R.layer_long_report(cells, layers=[1]))
